@@ -1,9 +1,12 @@
 """The numbered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, media, url_filter
+from . import exact_dedup, media, mixing, segmentation, token_counts, url_filter
 
 QUERIES = {
+    "op1_mix_sources": mixing.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_sentencepiece": segmentation.query,
+    "op6_token_counts": token_counts.query,
     "op7_media_columns": media.query,
     "op10_url_filters": url_filter.query,
 }
