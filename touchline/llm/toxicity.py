@@ -2,8 +2,9 @@
 
 Terms and stems that mark labelled toxic rows form a trie. A token is looked up in the intersection of the
 trie with a Levenshtein automaton: a state is the set of (trie node, edits so far) pairs, made deterministic
-as tokens arrive, so a token costs one step a character. Each match is weighed by how reliable its term has
-proved at that distance and by the tokens around it, which tell a quotation from an abuse.
+as tokens arrive, so a token costs one step a character. A match weighs the log of how much more frequent its
+term is, at that distance, in toxic rows than in clean ones, times a factor for the tokens around it, which
+tell a quotation from an abuse. A logistic function of a text's weights and length is its score.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +25,19 @@ TOKEN = re.compile(r"[^\W\d_]+")
 FOLDS, HELD_OUT = 5, 0
 #: Bounds on the rows to learn from, and on the lexicon.
 SAMPLE_TOXIC, SAMPLE_CLEAN, LEXICON = 6000, 12000, 4000
-#: A term needs so many toxic rows, and must be so many times as frequent among them as among clean ones.
-SUPPORT, LIFT = 6, 40.0
-STEMS = (4, 5, 6, 7)
+#: A term needs so many toxic rows, and a log ratio of its frequencies in toxic and clean rows that is above
+#: MARGIN by Z standard errors.
+SUPPORT, MARGIN, Z = 6, math.log(2), 4.0
+#: By how much a longer term's log ratio has to be above a shorter one's.
+CLEARLY = 0.5
+STEMS = (3, 4, 5, 6, 7, 8)
 #: Edits allowed by the length of a term; stems must match exactly.
 EDITS = ((5, 1), (9, 2))
 SEED = 5
-#: Reliability before any evidence, by distance, counted as PRIOR_ROWS rows.
-PRIOR, PRIOR_ROWS = (0.95, 0.6, 0.5), 2.0
+#: What a misspelling that the sample doesn't hold weighs, as a share of its term's weight.
+UNSEEN = 0.7
+#: Occurrences of a term that count.
+MOST = 5.0
 #: Tokens on either side of a match that decide on its context.
 SPAN = 6
 # Words that report speech, and words that address someone.
@@ -148,10 +155,20 @@ class LexiconAutomaton:
 @dataclass
 class Lexicon:
     terms: list[tuple[str, bool]]
-    #: reliability by (term, distance)
+    #: log ratio of the frequencies in toxic and clean rows, by (term, distance)
     weights: dict[tuple[str, int], float] = field(default_factory=dict)
-    #: share of toxic rows among those without a match
-    base: float = 0.01
+    #: logistic coefficients of features(); none without labels
+    coef: np.ndarray | None = None
+
+    def weight(self, term: str, e: int) -> float:
+        w = self.weights.get((term, e))
+        return max(0.0, UNSEEN * self.weights.get((term, 0), 0.0) if w is None else w)
+
+    def score(self, x: list[float]) -> float:
+        if self.coef is None:
+            return 0.01
+        z = float(np.dot(self.coef, x))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 class Scorer:
@@ -187,44 +204,51 @@ class Scorer:
             factor *= ADDRESSED
         return factor, quoted
 
-    def score(self, text: str) -> float:
+    def features(self, text: str) -> list[float]:
+        """Constant, log of the summed weights, of their density and of the largest, and log of the length."""
         low = text.lower()
-        hits = self.hits(set(TOKEN.findall(low)))
-        if not hits:
-            return self.lexicon.base
-        found = list(TOKEN.finditer(low))
-        tokens, spans = [m.group() for m in found], [m.span() for m in found]
-        plain: dict[str, float] = {}
-        quoted = 0.0
-        for k, t in enumerate(tokens):
-            if t in hits:
-                factor, is_quoted = self.context(low, spans, k, tokens)
-                term, e = hits[t]
-                w = min(0.999, self.lexicon.weights.get((term, e), PRIOR[min(e, 2)]) * factor)
-                if is_quoted:
-                    quoted = max(quoted, w)
-                else:
-                    plain[term] = max(plain.get(term, 0.0), w)
-        clean = math.prod(1 - w for w in plain.values() if w >= 0.5)
-        weak = max([w for w in plain.values() if w < 0.5], default=0.0)
-        return min(1.0, max(1 - clean, weak, quoted, self.lexicon.base))
-
-
-def choose_terms(rows: list[tuple[str, str, int, int, int]]) -> list[tuple[str, bool]]:
-    """rows: (kind, term, toxic, words, top) of what passed support and lift. Stems carried by a single word
-    give way to it; of nested stems the longest stays that keeps nearly all matches; words under a stem go."""
-    words = {t: n for kind, t, n, _, _ in rows if kind == "word"}
-    stems = {t: n for kind, t, n, many, top in rows if kind == "stem" and many > 1 and top < 0.8 * n}
-    kept: dict[str, int] = {}
+        words = TOKEN.findall(low)
+        hits = self.hits(set(words))
+        total = top = 0.0
+        if hits:
+            spans = [m.span() for m in TOKEN.finditer(low)]
+            met: dict[tuple[str, int], float] = {}
+            for k, t in enumerate(words):
+                if t in hits:
+                    factor, _ = self.context(low, spans, k, words)
+                    met[hits[t]] = met.get(hits[t], 0.0) + factor
+            for (term, e), n in met.items():
+                w = self.lexicon.weight(term, e)
+                total += w * min(n, MOST)
+                top = max(top, w * min(n, 1.0))
+        return [1.0, math.log1p(total), math.log1p(100 * total / (len(words) + 20)), top, math.log1p(len(words))]
+
+    def score(self, text: str) -> float:
+        return self.lexicon.score(self.features(text))
+
+
+def choose_terms(rows: list[tuple[str, str, int, int, int, float]]) -> list[tuple[str, bool]]:
+    """rows: (kind, term, toxic, words, top, log ratio) of what is frequent enough among toxic rows.
+
+    Stems carried by a single word give way to it. A longer stem, or a word, stays beside a shorter stem if it
+    is clearly more telling, and replaces it if it keeps nearly all its matches. A token counts for its longest.
+    """
+    stems = {t: (n, ratio) for kind, t, n, many, top, ratio in rows if kind == "stem" and many > 1 and top < 0.8 * n}
+    kept: dict[str, tuple[int, float]] = {}
+
+    def above(t: str) -> str | None:
+        return max((p for p in kept if t.startswith(p)), key=len, default=None)
+
     for s in sorted(stems, key=lambda s: (len(s), s)):
-        parent = next((p for p in kept if s.startswith(p)), None)
-        if parent is None:
-            kept[s] = stems[s]
-        elif stems[s] >= 0.95 * kept[parent]:
+        parent = above(s)
+        if parent is not None and stems[s][0] >= 0.95 * kept[parent][0]:
             del kept[parent]
-            kept[s] = stems[s]
+        elif parent is not None and stems[s][1] < kept[parent][1] + CLEARLY:
+            continue
+        kept[s] = stems[s]
+    words = {t: ratio for kind, t, _, _, _, ratio in rows if kind == "word"}
     out = [(s, True) for s in kept]
-    out += [(w, False) for w in words if not any(w.startswith(s) for s in kept)]
+    out += [(w, False) for w, ratio in words.items() if (p := above(w)) is None or ratio >= kept[p][1] + CLEARLY]
     return sorted(out)
 
 
@@ -245,8 +269,8 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
     if not toxic:
-        return Lexicon([], {}, 0.01)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,24})"), F.lit(1)))
+        return Lexicon([])
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,24})"), F.lit(1)))
     by_word = (
         sample.select("toxic", F.explode(words).alias("term"))
         .groupBy("term")
@@ -261,45 +285,72 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         .select(F.lit("stem").alias("kind"), "*")
     )
     all_terms = by_word.select(F.lit("word").alias("kind"), "*", F.lit(1).cast("long").alias("many"), F.col("t").alias("top")).unionByName(by_stem)
-    good = all_terms.filter((F.col("t") >= SUPPORT) & (F.col("t") / toxic >= LIFT * (F.col("c") + 0.5) / max(1, clean)))
+    ratio = F.log((F.col("t") + 0.5) / toxic) - F.log((F.col("c") + 0.5) / max(1, clean))
+    error = F.sqrt(1 / (F.col("t") + 1) + 1 / (F.col("c") + 1))
+    good = all_terms.withColumn("ratio", ratio).filter((F.col("t") >= SUPPORT) & (F.col("ratio") - Z * error >= MARGIN))
     rows = good.orderBy(F.desc("t"), "kind", "term").limit(LEXICON).collect()
-    lexicon = Lexicon(choose_terms([(r["kind"], r["term"], r["t"], r["many"], r["top"]) for r in rows]))
-    return _weighed(sample, lexicon)
+    lexicon = Lexicon(choose_terms([(r["kind"], r["term"], r["t"], r["many"], r["top"], r["ratio"]) for r in rows]))
+    return _fitted(sample, _weighed(sample, lexicon, toxic, clean))
 
 
-def _weighed(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
+def _weighed(sample: DataFrame, lexicon: Lexicon, toxic: int, clean: int) -> Lexicon:
+    """The weights of (term, distance) from the rows of the sample that hold such a match."""
     held = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for b in batches:
             out = []
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            for text, mark in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 found = set(scorer.hits(set(TOKEN.findall((text or "").lower()))).values())
-                least: dict[str, int] = {}
-                for term, e in found:
-                    least[term] = min(e, least.get(term, 99))
-                # A match that is not exact counts where the row has no exact one.
-                exact = any(e == 0 for e in least.values())
-                out += [(t, e, toxic) for t, e in least.items() if e == 0 or not exact] or [("", 0, toxic)]
+                # A misspelling is evidence where the row has no exact match.
+                exact = any(e == 0 for _, e in found)
+                out += [(t, e, mark) for t, e in found if e == 0 or not exact]
             terms, es, marks = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(es, pa.int32()), pa.array(marks, pa.bool_())], names=["term", "e", "toxic"])
 
     met = sample.select("text", "toxic").mapInArrow(run, "term string, e int, toxic boolean")
-    counts = met.groupBy("term", "e").agg(F.count_if("toxic").alias("t"), F.count("*").alias("n")).collect()
-    for r in counts:
-        if r["term"]:
-            prior = PRIOR[min(r["e"], 2)]
-            lexicon.weights[(r["term"], r["e"])] = (r["t"] + prior * PRIOR_ROWS) / (r["n"] + PRIOR_ROWS)
-        else:
-            lexicon.base = min(0.45, (r["t"] + 0.1) / (r["n"] + 1))
+    # A row for each of at most LEXICON terms and three distances.
+    for r in met.groupBy("term", "e").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")).collect():
+        lexicon.weights[(r["term"], r["e"])] = math.log((r["t"] + 0.5) / toxic) - math.log((r["c"] + 0.5) / max(1, clean))
     return lexicon
 
 
+def _fitted(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """Logistic coefficients from the sample's features: five numbers for each of a bounded number of rows."""
+    held = sample.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for b in batches:
+            x = [scorer.features(t or "") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("toxic")], names=["x", "toxic"])
+
+    rows = sample.select("text", "toxic").mapInArrow(run, "x array<double>, toxic boolean").collect()
+    rows.sort(key=lambda r: (r["x"], r["toxic"]))
+    lexicon.coef = logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
+    return lexicon
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
+    """Coefficients by Newton's method, with a small penalty on all but the constant."""
+    w = np.zeros(x.shape[1])
+    penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - y) + penalty @ w
+        h = (x * (p * (1 - p))[:, None]).T @ x + penalty
+        move = np.linalg.solve(h, g)
+        w -= move * min(1.0, 5.0 / max(1e-9, np.abs(move).max()))
+        if np.abs(move).max() < 1e-8:
+            break
+    return w
+
+
 def score_texts(df: DataFrame, lexicon: Lexicon, text: str = "text", to: str = "score") -> DataFrame:
     """df with column `to`, the toxicity of text between 0 and 1.
 
-    Null and empty texts get the lexicon's base score, as do texts without a match. An existing column `to`
+    Null and empty texts are scored like texts of no words; a lexicon without labels scores 0.01 throughout. An existing column `to`
     is replaced; all other columns and repeated rows stay. The lexicon has a bounded size and is broadcast.
     """
     held = df.sparkSession.sparkContext.broadcast(lexicon)
