@@ -1,17 +1,21 @@
 """The numbered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, media, mixing, segmentation, token_counts, url_filter
+from . import exact_dedup, language, media, mixing, near_dedup, segmentation, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_sentencepiece": segmentation.query,
+    "op4_language_id": language.query,
+    "op5_near_dedup": near_dedup.query,
     "op6_token_counts": token_counts.query,
     "op7_media_columns": media.query,
+    "op9_toxicity": toxicity.query,
     "op10_url_filters": url_filter.query,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_near_dedup": near_dedup.ORACLE_SQL,
     "op10_url_filters": url_filter.ORACLE_SQL,
 }
