@@ -1,6 +1,6 @@
 """The numbered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, language, media, mixing, near_dedup, segmentation, token_counts, toxicity, url_filter
+from . import exact_dedup, language, media, mixing, near_dedup, privacy, segmentation, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.query,
     "op6_token_counts": token_counts.query,
     "op7_media_columns": media.query,
+    "op8_personal_data": privacy.query,
     "op9_toxicity": toxicity.query,
     "op10_url_filters": url_filter.query,
 }
