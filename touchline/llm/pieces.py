@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -47,14 +48,14 @@ class Vocabulary:
         raw = (SPACE if char == OWN_SPACE else " " if char == SPACE else char).encode()
         return tuple(self.byte_ids[b] for b in raw)
 
-    def by_end(self) -> dict:
-        """Trie of the reversed pieces: {char: node}, with (id, log weight) at None."""
+    def by_end(self, scale: Callable[[float], float] = float) -> dict:
+        """Trie of the reversed pieces: {char: node}, with (id, scale(log weight)) at None."""
         root: dict = {}
         for s, entry in self.pieces.items():
             node = root
             for c in reversed(s):
                 node = node.setdefault(c, {})
-            node[None] = entry
+            node[None] = entry[0], scale(entry[1])
         return root
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,9 @@ from .pieces import BYTE_WEIGHT, MODEL_PATH, Vocabulary, load_vocabulary, pre_to
 
 SEED = 7
 #: Distinct pre-tokens whose lattices a task keeps; beyond it they are computed anew, with the same result.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 #: Texts, and characters, that are sampled side by side.
-TEXTS, CHARS = 512, 1 << 21
+TEXTS, CHARS = 1024, 1 << 22
 _U = np.uint64
 
 
@@ -40,78 +40,96 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Sampler:
     def __init__(self, vocabulary: Vocabulary, seed: int = SEED, remembered: int = REMEMBERED):
         self.vocabulary, self.seed, self.remembered = vocabulary, seed, remembered
-        self.by_end = vocabulary.by_end()
+        self.by_end = vocabulary.by_end(math.exp)
         self.extra: dict[tuple[int, ...], int] = {}
         self.size = vocabulary.size
         self.clear()
 
     def clear(self) -> None:
-        self.last: dict[str, int] = {}  # the node after a pre-token's last character
+        self.last: dict[str, int] = {}  # the node of a pre-token's end
         self.nodes = 0
-        # Edges by the node at their end: node + cumulated probability, the edge's length, its piece.
-        self.keys, self.lengths, self.ids = array("d"), array("i"), array("i")
-
-    def learn(self, word: str) -> None:
-        """Forward filtering of one pre-token."""
-        root, keys, lengths, ids = self.by_end, self.keys, self.lengths, self.ids
-        alpha = [1.0]
-        base = self.nodes
-        for end in range(1, len(word) + 1):
-            node, at, edges, total = root, end, [], 0.0
-            while at:
-                node = node.get(word[at - 1])
-                if node is None:
-                    break
-                at -= 1
-                piece = node.get(None)
-                if piece is not None:
-                    p = alpha[at] * math.exp(piece[1])
-                    total += p
-                    edges.append((total, end - at, piece[0]))
-            c = word[end - 1]
-            if c not in root or None not in root[c]:
-                raw = self.vocabulary.fallback(c)
-                piece_id = raw[0] if len(raw) == 1 else self.extra.setdefault(raw, self.size + len(self.extra))
-                total += alpha[end - 1] * BYTE_WEIGHT ** len(raw)
-                edges.append((total, 1, piece_id))
-            alpha.append(total)
-            for cum, length, piece_id in edges:
-                keys.append(base + end + cum / total)
-                lengths.append(length)
-                ids.append(piece_id)
-            if total < 1e-200:
-                # Only ratios within the reach of a piece matter.
-                alpha = [min(x * 1e200, 1e300) for x in alpha]
-        self.nodes += len(word) + 1
-        self.last[word] = base + len(word)
+        self.roots: list[int] = []
+        # Edges by the node at their end: node + cumulated probability, the node that they come from, their piece.
+        self.keys, self.origins, self.ids = array("d"), array("i"), array("i")
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Forward filtering of new pre-tokens. In sorted order a shared beginning has the same nodes."""
+        root, last, size = self.by_end, self.last, self.size
+        keys: list[float] = []
+        origins: list[int] = []
+        ids: list[int] = []
+        node_id = self.nodes
+        self.roots.append(node_id)
+        alpha, nodes = [1.0], [node_id]
+        path = ""
+        for w in sorted(words):
+            n, m = 0, min(len(w), len(path))
+            while n < m and w[n] == path[n]:
+                n += 1
+            del alpha[n + 1 :], nodes[n + 1 :]
+            for end in range(n + 1, len(w) + 1):
+                node_id += 1
+                node, at, total, first = root, end, 0.0, len(keys)
+                while at:
+                    node = node.get(w[at - 1])
+                    if node is None:
+                        break
+                    at -= 1
+                    piece = node.get(None)
+                    if piece is not None:
+                        total += alpha[at] * piece[1]
+                        keys.append(total)
+                        origins.append(nodes[at])
+                        ids.append(piece[0])
+                c = w[end - 1]
+                if c not in root or None not in root[c]:
+                    raw = self.vocabulary.fallback(c)
+                    total += alpha[end - 1] * BYTE_WEIGHT ** len(raw)
+                    keys.append(total)
+                    origins.append(nodes[end - 1])
+                    ids.append(raw[0] if len(raw) == 1 else self.extra.setdefault(raw, size + len(self.extra)))
+                for k in range(first, len(keys)):
+                    keys[k] = node_id + keys[k] / total
+                alpha.append(total)
+                nodes.append(node_id)
+                if total < 1e-200:
+                    # Only ratios within the reach of a piece matter.
+                    alpha = [min(x * 1e200, 1e300) for x in alpha]
+            last[w] = nodes[len(w)]
+            path = w
+        self.nodes = node_id + 1
+        self.keys.extend(keys)
+        self.origins.extend(origins)
+        self.ids.extend(ids)
 
     def sample(self, texts: list[str], row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' piece ids, and where each text's begin and end. row_keys: a uint64 for each text."""
         words = [pre_tokens(t) for t in texts]
         if len(self.last) > self.remembered:
             self.clear()
-        for w in set().union(*words).difference(self.last) if words else ():
-            self.learn(w)
+        if words:
+            self.learn(set().union(*words).difference(self.last))
         counts = np.fromiter(map(len, words), np.int64, len(words))
         n = int(counts.sum())
         get = self.last.__getitem__
         node = np.fromiter((get(w) for row in words for w in row), np.int64, n)
-        left = np.fromiter((len(w) for row in words for w in row), np.int64, n)
         first = np.cumsum(counts) - counts
         stream = mixed(np.repeat(row_keys, counts) + (np.arange(n, dtype=_U) - np.repeat(first, counts).astype(_U)) * _U(0x9E3779B97F4A7C15))
-        keys, lengths, ids = (np.frombuffer(x, t) if len(x) else np.zeros(0, t) for x, t in ((self.keys, "f8"), (self.lengths, "i4"), (self.ids, "i4")))
+        keys, origins, ids = (np.frombuffer(x, t) if len(x) else np.zeros(0, t) for x, t in ((self.keys, "f8"), (self.origins, "i4"), (self.ids, "i4")))
+        is_root = np.zeros(self.nodes, bool)
+        is_root[self.roots] = True
         pieces = np.zeros(n, np.int64)
         steps, alive = [], np.arange(n)
         while len(alive):
             u = (mixed(stream[alive] + _U((len(steps) + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> _U(11)).astype(np.float64) / float(1 << 53)
             # The largest u stays below node + 1 after rounding.
-            edge = np.searchsorted(keys, node[alive] + np.minimum(u, 1 - 1e-7), "right")
+            edge = np.searchsorted(keys, node + np.minimum(u, 1 - 1e-7), "right")
             steps.append((alive, ids[edge]))
             pieces[alive] += 1
-            node[alive] -= lengths[edge]
-            left[alive] -= lengths[edge]
-            alive = alive[left[alive] > 0]
-        del keys, lengths, ids  # frees the buffers, which may grow again
+            node = origins[edge]
+            more = ~is_root[node]
+            alive, node = alive[more], node[more]
+        del keys, origins, ids  # frees the buffers, which may grow again
         ends = np.cumsum(pieces)
         out = np.empty(int(ends[-1]) if n else 0, np.int32)
         for k, (where, got) in enumerate(steps):
