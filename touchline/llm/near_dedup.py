@@ -31,7 +31,9 @@ DOUBT = 20.0
 #: Rounds with one pivot in each bucket.
 ROUNDS = 3
 #: Members of a bucket that are compared pair by pair.
-SMALL_BUCKET = 48
+SMALL_BUCKET = 24
+#: Members that may share a hash before it counts as hot.
+HOT = 256
 #: Bytes of text that are shingled at a time.
 BATCH_BYTES = 1 << 21
 
@@ -130,26 +132,43 @@ def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "hashes_a", "hashes_b").mapInArrow(confirmed, "a binary, b binary")
 
 
-def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs of members (set_id, label) of different labels that can be linked, by the prefix filter:
-    such a pair shares one of the rarest |set| - ceil(0.75 |set|) + 1 hashes of each."""
+def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of members of one bucket (bucket, set_id, label) that have different labels and can be linked.
+
+    A linked pair shares 3/7 of the sum of its sizes at least, and one of the rarest |set| - ceil(0.75 |set|) + 1
+    hashes of each. A hash is hot if more than HOT members hold it. A pair that shares a cold one of its rarest
+    hashes is found by a join on these, whose work HOT bounds for each row. Any other pair shares hot hashes
+    only, so both have as many as the link needs; these are compared within their buckets. Hashes that members
+    of one label alone hold don't count, and members with too few others are out.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [np.frombuffer(x.as_py(), np.int64) for x in b.column("hashes")]
             yield pa.RecordBatch.from_arrays([b.column("set_id"), b.column("label"), pa.array(rows, pa.list_(pa.int64()))], names=["set_id", "label", "hs"])
 
+    members = rest.select("set_id", "label").distinct()
     held = members.join(sets, "set_id").mapInArrow(spread, "set_id binary, label binary, hs array<long>")
     held = written(held, "near-residue")
     each = held.select("set_id", "label", F.size("hs").alias("n"), F.explode("hs").alias("h"))
-    counts = each.groupBy("h").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    ordered = each.join(counts, "h").groupBy("set_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", (F.col("lo") != F.col("hi")).alias("apart")))).alias("hs"))
-    length = F.expr(f"int(n - ceil({PERCENT} * n / 100.0) + 1)")
-    first = ordered.select("set_id", "label", F.explode(F.slice("hs", F.lit(1), length)).alias("x")).filter("x.apart").select("set_id", "label", "x.h")
-    first = written(first, "near-prefixes")
-    left = first.select(F.col("set_id").alias("a"), F.col("label").alias("la"), "h")
-    right = first.select(F.col("set_id").alias("b"), F.col("label").alias("lb"), "h")
-    return left.join(right, "h").filter("la < lb").select("a", "b").distinct()
+    counts = each.groupBy("h").agg(F.count("*").alias("df"), (F.min("label") != F.max("label")).alias("apart"))
+    ordered = each.join(counts, "h").groupBy("set_id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", "apart"))).alias("hs"))
+    ordered = (
+        ordered.withColumn("shared", F.size(F.filter("hs", lambda x: x["apart"])))
+        .withColumn("hot", F.size(F.filter("hs", lambda x: x["apart"] & (x["df"] > HOT))))
+        .withColumn("hs", F.filter(F.slice("hs", F.lit(1), F.expr(f"int(n - ceil({PERCENT} * n / 100.0) + 1)")), lambda x: x["apart"] & (x["df"] <= HOT)))
+        .filter(F.col("shared") * 100 >= F.col("n") * PERCENT)
+    )
+    ordered = written(ordered, "near-prefixes")
+
+    def sides(df: DataFrame, on: str, count: str) -> DataFrame:
+        left, right = (df.select(on, F.col("set_id").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col(count).alias(f"c{x}")) for x in "ab")
+        enough = F.least("ca", "cb") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT
+        return left.join(right, (left[on] == right[on]) & (F.col("la") < F.col("lb")) & enough).select("a", "b")
+
+    cold = sides(ordered.select("set_id", "label", "n", "shared", F.explode("hs.h").alias("h")), "h", "shared")
+    hot = ordered.filter(F.col("hot") * 100 >= F.col("n") * PERCENT).select("set_id", "n", "hot")
+    return cold.unionByName(sides(rest.join(hot, "set_id"), "bucket", "hot")).distinct()
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,8 +229,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         left = small.select("bucket", F.col("set_id").alias("a"), F.col("label").alias("la"))
         right = small.select("bucket", F.col("set_id").alias("b"), F.col("label").alias("lb"))
         pairs = left.join(right, "bucket").filter("la < lb").select("a", "b")
-        large = rest.filter(F.col("members") > SMALL_BUCKET).select("set_id", "label").distinct()
-        link(pairs.unionByName(_prefix_pairs(large, sets)))
+        link(pairs.unionByName(_prefix_pairs(rest.filter(F.col("members") > SMALL_BUCKET), sets)))
 
     roots = classes.select("set_id", "rep")
     if labels is not None:
