@@ -59,11 +59,11 @@ def lane(y_rel: Column) -> Column:
     """One of five lanes across the pitch, seen in the direction of attack."""
     inner, outer = LANE_EDGES_M
     return (
-        F.when(y_rel > outer, "left_wing")
-        .when(y_rel > inner, "left_half")
+        F.when(y_rel > outer, "wide_left")
+        .when(y_rel > inner, "halfspace_left")
         .when(y_rel >= -inner, "centre")
-        .when(y_rel >= -outer, "right_half")
-        .when(y_rel.isNotNull(), "right_wing")
+        .when(y_rel >= -outer, "halfspace_right")
+        .when(y_rel.isNotNull(), "wide_right")
     )
 
 
