@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 from .exact_dedup import probe
-from .graph import components
+from .graph import components, hinted
 from .shingles import SetSketch, set_id, shingle_sets
 
 #: Links need 100 * |intersection| >= PERCENT * |union|.
@@ -29,7 +29,7 @@ BANDS, ROWS = 40, 5
 #: A pair is discarded unseen if its likeliest similarity is lower and exp(20) times as likely.
 DOUBT = 20.0
 #: Rounds with one pivot in each bucket.
-ROUNDS = 3
+ROUNDS = 2
 #: Members of a bucket that are compared pair by pair.
 SMALL_BUCKET = 24
 #: Members that may share a hash before it counts as hot.
@@ -80,7 +80,7 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(set_id, hashes) of the wanted (set_id, rep) classes, from the texts of their representatives."""
+    """(set_id, n, regs, hashes) of the wanted classes (set_id, rep, n, regs), from their representatives' texts."""
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,13 +96,13 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     # A bit filter of bounded size leaves out most texts that nobody asks for.
     asked = probe(src.withColumn("digest", F.col("rep")), wanted.select(F.col("rep").alias("digest"))).filter("maybe")
     found = asked.select("rep", "text").mapInArrow(run, f"rep {key_type}, set_id binary, hashes binary")
-    return found.join(wanted, ["rep", "set_id"]).groupBy("set_id").agg(F.first("hashes").alias("hashes"))
+    return found.join(wanted, ["rep", "set_id"]).groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("n", "regs", "hashes")))
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, rows: int, sets: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b) those that are linked: likelihood first, then the full sets."""
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = SetSketch(BANDS * ROWS)
         for batch in batches:
             if not batch.num_rows:
@@ -110,26 +110,19 @@ def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("regs_a", "regs_b"))
             na, nb = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
             best, ahead = sketch.similarity(ra, rb, na, nb, PERCENT / 100)
-            keep = pa.array((best >= PERCENT / 100) | (ahead < DOUBT))
-            yield batch.select(["a", "b"]).filter(keep)
-
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            keep = (best >= PERCENT / 100) | (ahead < DOUBT)
+            for i in np.flatnonzero(keep):
+                p, q = (np.frombuffer(batch.column(c)[int(i)].as_py(), np.uint64) for c in ("hashes_a", "hashes_b"))
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep[i] = 100 * both >= PERCENT * (len(p) + len(q) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    def side(df: DataFrame, name: str, *cols: str) -> DataFrame:
-        return df.select(F.col("set_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("set_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "regs", "hashes")))
 
-    sized = pairs.join(side(classes, "a", "n", "regs"), "a").join(side(classes, "b", "n", "regs"), "b")
-    sized = sized.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-    doubtful = sized.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(likely, "a binary, b binary")
-    full = doubtful.join(side(sets, "a", "hashes"), "a").join(side(sets, "b", "hashes"), "b")
-    return full.select("a", "b", "hashes_a", "hashes_b").mapInArrow(confirmed, "a binary, b binary")
+    full = side("a").join(hinted(pairs, rows), "a").join(side("b"), "b")
+    full = full.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
+    return full.select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "hashes_a", "hashes_b").mapInArrow(compared, "a binary, b binary")
 
 
 def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,7 +141,7 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("set_id"), b.column("label"), pa.array(rows, pa.list_(pa.int64()))], names=["set_id", "label", "hs"])
 
     members = rest.select("set_id", "label").distinct()
-    held = members.join(sets, "set_id").mapInArrow(spread, "set_id binary, label binary, hs array<long>")
+    held = members.join(sets.select("set_id", "hashes"), "set_id").mapInArrow(spread, "set_id binary, label binary, hs array<long>")
     held = written(held, "near-residue")
     each = held.select("set_id", "label", F.size("hs").alias("n"), F.explode("hs").alias("h"))
     counts = each.groupBy("h").agg(F.count("*").alias("df"), (F.min("label") != F.max("label")).alias("apart"))
@@ -189,30 +182,40 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     each = classes.select("set_id", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count("*").alias("members"), F.min("set_id").alias("pivot")).filter("members > 1")
     members = written(each.join(shared, "bucket"), "near-members")
-    wanted = members.select("set_id").distinct().join(classes.select("set_id", "rep"), "set_id")
+    wanted = classes.select("set_id", "rep", "n", "regs").join(members.select("set_id"), "set_id", "left_semi")
     sets = written(_sets(docs, key, text, written(wanted, "near-wanted")), "near-sets")
 
-    links: DataFrame | None = None
     labels: DataFrame | None = None
+    labelled = 0
     done: DataFrame | None = None
 
     def link(pairs: DataFrame) -> bool:
         """Compare pairs (a, b), and merge components; whether there were pairs to compare."""
-        nonlocal links, labels, done
+        nonlocal labels, labelled, done
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
+        rows = pairs.count()
+        if not rows:
             return False
         done = pairs if done is None else done.unionByName(pairs)
-        found = written(_linked(pairs, classes, sets), "near-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        found = written(_linked(pairs, rows, sets), "near-links")
+        if labels is None:
+            labels = components(found)
+        elif not found.isEmpty():
+            # Later links join components: their graph is that of the labels.
+            old = hinted(labels, labelled)
+            of = {x: old.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"}
+            between = found.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+            merged = components(between.filter("a != b")).select(F.col("node").alias("label"), F.col("label").alias("root"))
+            moved = labels.join(merged, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+            new = merged.join(labels, merged["label"] == labels["node"], "left_anti").select(F.col("label").alias("node"), F.col("root").alias("label"))
+            labels = written(moved.unionByName(new), "near-labels")
+        labelled = labels.count()
         return True
 
     def apart(df: DataFrame) -> DataFrame:
         """Members with their labels, in buckets that hold several labels."""
-        known = df.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-        known = written(known, "near-labelled")
+        known = df.join(hinted(labels.withColumnRenamed("node", "set_id"), labelled), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
         mixed = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
         return written(known.join(mixed, "bucket").select("bucket", "members", "set_id", "label"), "near-apart")
 
@@ -229,7 +232,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         left = small.select("bucket", F.col("set_id").alias("a"), F.col("label").alias("la"))
         right = small.select("bucket", F.col("set_id").alias("b"), F.col("label").alias("lb"))
         pairs = left.join(right, "bucket").filter("la < lb").select("a", "b")
-        link(pairs.unionByName(_prefix_pairs(rest.filter(F.col("members") > SMALL_BUCKET), sets)))
+        large = rest.filter(F.col("members") > SMALL_BUCKET)
+        link(pairs if large.isEmpty() else pairs.unionByName(_prefix_pairs(large, sets)))
 
     roots = classes.select("set_id", "rep")
     if labels is not None:
