@@ -41,6 +41,7 @@ class Sampler:
     def __init__(self, vocabulary: Vocabulary, seed: int = SEED, remembered: int = REMEMBERED):
         self.vocabulary, self.seed, self.remembered = vocabulary, seed, remembered
         self.by_end = vocabulary.by_end(math.exp)
+        self.single = {c for c, node in self.by_end.items() if c is not None and None in node}
         self.extra: dict[tuple[int, ...], int] = {}
         self.size = vocabulary.size
         self.clear()
@@ -54,12 +55,15 @@ class Sampler:
 
     def learn(self, words: Iterable[str]) -> None:
         """Forward filtering of new pre-tokens. In sorted order a shared beginning has the same nodes."""
-        root, last, size = self.by_end, self.last, self.size
-        keys: list[float] = []
+        root, single, last, size = self.by_end, self.single, self.last, self.size
+        sums: list[float] = []  # by edge, over the edges of its node so far
+        totals: list[float] = []  # by node, and the number of its edges
+        degrees: list[int] = []
         origins: list[int] = []
         ids: list[int] = []
-        node_id = self.nodes
+        node_id = first_node = self.nodes
         self.roots.append(node_id)
+        add_sum, add_origin, add_id = sums.append, origins.append, ids.append
         alpha, nodes = [1.0], [node_id]
         path = ""
         for w in sorted(words):
@@ -69,7 +73,7 @@ class Sampler:
             del alpha[n + 1 :], nodes[n + 1 :]
             for end in range(n + 1, len(w) + 1):
                 node_id += 1
-                node, at, total, first = root, end, 0.0, len(keys)
+                node, at, total, first = root, end, 0.0, len(ids)
                 while at:
                     node = node.get(w[at - 1])
                     if node is None:
@@ -78,18 +82,18 @@ class Sampler:
                     piece = node.get(None)
                     if piece is not None:
                         total += alpha[at] * piece[1]
-                        keys.append(total)
-                        origins.append(nodes[at])
-                        ids.append(piece[0])
+                        add_sum(total)
+                        add_origin(nodes[at])
+                        add_id(piece[0])
                 c = w[end - 1]
-                if c not in root or None not in root[c]:
+                if c not in single:
                     raw = self.vocabulary.fallback(c)
                     total += alpha[end - 1] * BYTE_WEIGHT ** len(raw)
-                    keys.append(total)
-                    origins.append(nodes[end - 1])
-                    ids.append(raw[0] if len(raw) == 1 else self.extra.setdefault(raw, size + len(self.extra)))
-                for k in range(first, len(keys)):
-                    keys[k] = node_id + keys[k] / total
+                    add_sum(total)
+                    add_origin(nodes[end - 1])
+                    add_id(raw[0] if len(raw) == 1 else self.extra.setdefault(raw, size + len(self.extra)))
+                totals.append(total)
+                degrees.append(len(ids) - first)
                 alpha.append(total)
                 nodes.append(node_id)
                 if total < 1e-200:
@@ -98,7 +102,9 @@ class Sampler:
             last[w] = nodes[len(w)]
             path = w
         self.nodes = node_id + 1
-        self.keys.extend(keys)
+        degree = np.array(degrees, np.int64)
+        keys = np.repeat(np.arange(first_node + 1, node_id + 1, dtype=np.float64), degree) + np.array(sums) / np.repeat(np.array(totals), degree)
+        self.keys.frombytes(keys.tobytes())
         self.origins.extend(origins)
         self.ids.extend(ids)
 
