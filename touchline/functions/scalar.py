@@ -13,16 +13,21 @@ MISSING_FACTOR = 0.6
 LANE_EDGES_M = (6.8, 20.4)
 
 
+def bounded(v: Column, low: float, high: float) -> Column:
+    """v within [low, high]; null stays null, which greatest and least alone would pass over."""
+    return F.when(v.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), v)))
+
+
 def clamp01(v: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    return bounded(v, 0.0, 1.0)
 
 
 def sigmoid(z: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), z))))
+    return 1 / (1 + F.exp(-bounded(z, -60.0, 60.0)))
 
 
 def logit(p: Column) -> Column:
-    p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))
+    p = bounded(p, 1e-6, 1 - 1e-6)
     return F.log(p / (1 - p))
 
 
@@ -95,24 +100,24 @@ def wilson_bounds(p: Column, n_eff: Column, z: float = 1.96) -> tuple[Column, Co
     denominator = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / denominator
     half = z / denominator * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(1.0))
+    return F.coalesce(clamp01(centre - half), F.lit(0.0)), F.coalesce(clamp01(centre + half), F.lit(1.0))
 
 
 def out_of_bounds_m(x: Column, y: Column) -> Column:
     """How far a point is outside the pitch; 0 inside."""
     dx = F.greatest(F.abs(x) - PITCH_LENGTH_M / 2, F.lit(0.0))
     dy = F.greatest(F.abs(y) - PITCH_WIDTH_M / 2, F.lit(0.0))
-    return F.hypot(dx, dy)
+    return F.when(x.isNotNull() & y.isNotNull(), F.hypot(dx, dy))
 
 
 def boundary_distance_m(x: Column, y: Column) -> Column:
     """Distance to the nearest pitch line."""
-    return F.least(F.abs(F.abs(x) - PITCH_LENGTH_M / 2), F.abs(F.abs(y) - PITCH_WIDTH_M / 2))
+    return F.when(x.isNotNull() & y.isNotNull(), F.least(F.abs(F.abs(x) - PITCH_LENGTH_M / 2), F.abs(F.abs(y) - PITCH_WIDTH_M / 2)))
 
 
 def third(v: Column, extent: float) -> Column:
     """0, 1 or 2 along an axis that is centred on 0; points outside count for the outer thirds."""
-    return F.greatest(F.lit(0), F.least(F.lit(2), F.floor((v + extent / 2) / (extent / 3)).cast("int")))
+    return F.when(v.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(2), F.floor((v + extent / 2) / (extent / 3)).cast("int"))))
 
 
 def histogram_distance(a: Column, b: Column) -> Column:

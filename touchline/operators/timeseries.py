@@ -99,13 +99,14 @@ def islands(df: DataFrame, keys: Keys, order: str, flag: Column, name: str = "is
 
 def hysteresis_episodes(
     df: DataFrame, keys: Keys, t: str, score: str, enter: float, leave: float, min_duration: float, merge_gap: float,
-    quality: str | None = None, complete: str | None = None, components: int = 1, order: str | None = None,
+    quality: str | None = None, complete: str | None = None, components: int = 1, order: str | None = None, extra: list[Column] | None = None,
 ) -> DataFrame:
     """Episodes of a score series: entered at `enter`, left under `leave` or at a null. Episodes less than
     merge_gap apart are one; those shorter than min_duration are dropped.
 
     Per episode: keys, start_t, end_t (of its last row), n_rows, mean_score and max_score over the non-null
-    scores, and confidence, whose quality and completeness take all rows between the first and the last.
+    scores, and confidence, whose quality and completeness take all rows between the first and the last; and
+    the aggregates in `extra` over these rows.
     """
     order = order or t
     w = ordered(keys, order)
@@ -121,6 +122,7 @@ def hysteresis_episodes(
     out = spans.groupBy(*keys, "episode").agg(
         F.min(t).alias("start_t"), F.max(t).alias("end_t"), F.count("*").alias("n_rows"), F.avg(score).alias("mean_score"), F.max(score).alias("max_score"),
         (F.avg(quality) if quality else F.lit(1.0)).alias("q_"), (F.avg(F.col(complete).cast("double")) if complete else F.lit(1.0)).alias("c_"),
+        *(extra or []),
     )
     out = out.filter(F.col("end_t") - F.col("start_t") >= min_duration - 1e-9)
     return out.withColumn("confidence", episode_confidence(F.col("mean_score"), F.col("q_"), F.col("c_"), components)).drop("q_", "c_")
