@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from touchline.functions.scalar import PITCH_LENGTH_M, PITCH_WIDTH_M
 from touchline.operators import shape
 from touchline.operators import timeseries as ts
+from touchline.sources.shared import written
 
 K = ["match_id", "segment_id"]
 
@@ -122,5 +123,9 @@ def team_features(players: DataFrame, states: DataFrame, attack_dir: DataFrame,
 
 
 def features(frames: DataFrame, player_obs: DataFrame, ball_obs: DataFrame, attack_dir: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:  # noqa: B008
+    """All features as a written table. Each stage is read by several later ones, so it is written once: the
+    resampled tracks, the possession states, and the features that the detectors share."""
     players, ball = resampled(frames, player_obs, ball_obs, cfg)
-    return team_features(players, possession_states(players, ball, cfg), attack_dir, cfg)
+    players = written(players, "players")
+    states = written(possession_states(players, ball, cfg), "states")
+    return written(team_features(players, states, attack_dir, cfg), "features")

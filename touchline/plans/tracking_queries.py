@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline.operators import features, patterns, scouting
 from touchline.operators import timeseries as ts
 from touchline.sources.derived import tracking
+from touchline.sources.shared import written
 
 
 def r(c, n=6):
@@ -14,7 +15,8 @@ def r(c, n=6):
 
 
 def rows(spark, d):
-    return features.features(*tracking(spark, d))
+    frames, players, ball, attack = tracking(spark, d)
+    return features.features(written(frames, "frames"), written(players, "player-obs"), written(ball, "ball-obs"), attack)
 
 
 def q_features(spark, d):
