@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.operators import features, patterns, scouting
+from touchline.operators import ball, calibration, events, features, patterns, scouting
 from touchline.operators import timeseries as ts
 from touchline.sources.derived import tracking
+from touchline.plans.domain_queries import PLAYERS, players as line_players
+from touchline.plans.series_queries import POINTS, points
 from touchline.sources.shared import written
 
 
@@ -44,7 +46,78 @@ def q_profile(spark, d):
     return p.select("match_id", "pattern_id", "team", "n", *(r(c, 4).alias(c) for c in ("rate_per_90", "mean_confidence", "mean_intensity", "max_intensity", "total_s")))
 
 
+def _resampled(spark, d, ball_window_s=0.4):
+    frames, players, ball_obs, _ = tracking(spark, d)
+    p, b = features.resampled(frames, players, ball_obs, ball_window_s=ball_window_s)
+    return written(p, "players"), written(b, "ball")
+
+
+def q_launches(spark, d):
+    found = events.launches(*_resampled(spark, d))
+    return found.select("match_id", "segment_id", "i", "kind", "kicker", *(r(c, 4).alias(c) for c in ("t", "x", "y", "speed", "kicker_dist")))
+
+
+def q_stoppages(spark, d):
+    p, b = _resampled(spark, d)
+    kicks = events.launches(p, b).select("match_id", "segment_id", F.col("t").alias("start_t"), (F.col("t") + 1.0).alias("end_t"), F.lit("pass").alias("event_type"))
+    return events.stoppages(p, b, kicks).select("match_id", "segment_id", "period", "explained_by", *(r(c, 4).alias(c) for c in ("start_t", "end_t", "confidence", "ball_observed")))
+
+
+def _samples(spark, d):
+    _, _, b, _ = tracking(spark, d)
+    seen = F.col("x").isNotNull()
+    return b.select("match_id", F.col("timestamp_s").alias("t"), "x", "y", F.when(seen, 0.2 + F.pmod("frame_index", F.lit(5)) / 10).alias("confidence"), (F.pmod("frame_index", F.lit(11)) == 0).cast("int").alias("extra")).withColumn(
+        "n_candidates", F.col("extra") + seen.cast("int")
+    ).withColumn("interpolated", F.lit(False)).drop("extra")
+
+
+def q_ball_quality(spark, d):
+    return ball.ball_quality(_samples(spark, d), ["match_id"]).select("match_id", r("t", 3).alias("t"), r("quality", 5).alias("quality"), r("support", 5).alias("support"), r("speed", 4).alias("speed"))
+
+
+def q_ball_smoothed(spark, d):
+    scored = ball.ball_quality(_samples(spark, d), ["match_id"])
+    out = ball.smoothed(scored, ["match_id"], bidirectional=True)
+    return out.select("match_id", r("t", 3).alias("t"), "status", *(r(c, 4).alias(c) for c in ("sx", "sy", "svx", "svy")))
+
+
+def _correspondences(spark, d):
+    """The lines of an order as landmarks: pitch points, and their pixels under a camera that varies by order."""
+    p = line_players(spark, d).select("frame", F.col("track_id").alias("landmark"), F.col("x").alias("wx"), F.col("y").alias("wy"))
+    w = 1 + 0.002 * F.col("wx") + 0.001 * F.col("wy")
+    shift = F.pmod("frame", F.lit(40))
+    return p.withColumns({"u": (900 + 12 * F.col("wx") + 2 * F.col("wy") + shift) / w, "v": (500 - 3 * F.col("wx") + 9 * F.col("wy")) / w})
+
+
+def q_support(spark, d):
+    return calibration.support(_correspondences(spark, d), ["frame"]).select("frame", "n", *(r(c, 5).alias(c) for c in ("major", "minor", "collinearity")))
+
+
+SUPPORT = PLAYERS + """, m AS (SELECT frame, count(*) AS n, var_pop(x) AS a, var_pop(y) AS d, covar_pop(x, y) AS b FROM pl GROUP BY frame
+), e AS (SELECT frame, n, sqrt((a + d) / 2 + sqrt(power((a - d) / 2, 2) + b * b)) AS major, sqrt(greatest(0, (a + d) / 2 - sqrt(power((a - d) / 2, 2) + b * b))) AS minor FROM m)
+SELECT frame, n, round(major, 5) AS major, round(minor, 5) AS minor, round(CASE WHEN major > 0 THEN 1 - minor / major ELSE 1 END, 5) AS collinearity FROM e
+"""
+
+
+def q_homography(spark, d):
+    c = written(_correspondences(spark, d), "correspondences")
+    fits = written(calibration.fit_homographies(c, ["frame"]), "homographies")
+    good = fits.filter("h IS NOT NULL").select("frame", "h")
+    rep = calibration.reprojection(c, good, ["frame"])
+    return fits.select("frame", "n", F.col("h").isNotNull().alias("fitted")).join(rep.select("frame", (F.col("rms") < 1e-3).alias("exact")), "frame", "left")
+
+
+def q_teleports(spark, d):
+    return calibration.teleports(points(spark, d), ["user_id"], "t", 0.01)
+
+
+TELEPORTS = "WITH " + POINTS + """, w AS (SELECT user_id, sqrt(power(x - lag(x) OVER k, 2) + power(y - lag(y) OVER k, 2)) / nullif(greatest(t - lag(t) OVER k, 0), 0) AS pace FROM p WHERE x IS NOT NULL WINDOW k AS (PARTITION BY user_id ORDER BY t))
+SELECT user_id, count_if(pace > 0.01) AS n_teleports FROM w GROUP BY user_id
+"""
+
 QUERIES = {
     "tracks_team_features": q_features, "tracks_possession": q_states, **{f"tracks_{k}": _pattern(b) for k, b in patterns.DETECTORS.items()}, "tracks_pattern_profile": q_profile,
+    "tracks_launches": q_launches, "tracks_stoppages": q_stoppages, "tracks_ball_quality": q_ball_quality, "tracks_ball_smoothed": q_ball_smoothed, "lineitem_landmark_support": q_support,
+    "lineitem_homographies": q_homography, "events_teleports": q_teleports,
 }
-ORACLE_SQL: dict = {}
+ORACLE_SQL = {"lineitem_landmark_support": SUPPORT, "events_teleports": TELEPORTS}
