@@ -132,7 +132,7 @@ def validate_rules(rules: DataFrame, patterns: list[str]) -> DataFrame:
         "rule_id",
         F.explode(F.array_compact(F.array(
             F.when(~F.col("pattern_id").isin(*patterns), F.lit("unknown pattern")), F.when(~F.col("priority").between(0, 1), F.lit("priority out of range")),
-            F.when(F.size(F.array_except(F.regexp_extract_all("headline", F.lit(r"\\{([a-z_0-9]+)")), F.array(*(F.lit(k) for k in known)))) > 0, F.lit("unknown placeholder")),
+            F.when(F.size(F.array_except(F.regexp_extract_all("headline", F.lit(r"\{([a-z_0-9]+)")), F.array(*(F.lit(k) for k in known)))) > 0, F.lit("unknown placeholder")),
         ))).alias("problem"),
     )
     twice = rules.groupBy("rule_id").agg(F.count("*").alias("n")).filter("n > 1").select("rule_id", F.lit("duplicate id").alias("problem"))
