@@ -26,6 +26,8 @@ EMBEDDING = 8
 #: Bound on the training sample: texts, and stretches of CHARS characters taken from each.
 SAMPLE_TEXTS, STRETCHES, CHARS = 2400, 4, 300
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 11
+#: A row of counts for each language is broadcast.
+MAX_LANGUAGES = 10_000
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 #: Positions whose filter values are held at a time.
@@ -144,7 +146,9 @@ def training_sample(rows: DataFrame, key: str, text: str, lang: str, bound: int
     known = rows.filter(F.col(lang).isNotNull() & (F.length(F.col(text)) > 0))
     counts = known.groupBy(F.col(lang).alias("of")).agg(F.count("*").alias("n"))
     langs = counts.count()
-    share = counts.select("of", (F.lit(bound / max(1, langs)) / F.col("n")).alias("share"))
+    if langs > MAX_LANGUAGES:
+        raise ValueError(f"{langs} languages; the network is built for {MAX_LANGUAGES} at most")
+    share = F.broadcast(counts.select("of", (F.lit(bound / max(1, langs)) / F.col("n")).alias("share")))
     picked = known.join(share, F.col(lang) == F.col("of")).filter(unit_hash(F.lit(SEED), F.col(key)) < F.col("share"))
     at = [unit_hash(F.lit(SEED + 1 + k), F.col(key)) for k in range(STRETCHES)]
     parts = F.array(*(F.substring(F.col(text), (a * F.greatest(F.length(text) - CHARS, F.lit(1))).cast("int") + 1, F.lit(CHARS)) for a in at))
