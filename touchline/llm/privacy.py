@@ -1,9 +1,9 @@
 """Personal data: patterned entities and the terms that reveal them (built-in functions only).
 
-Emails, IP addresses, payment cards and phone numbers are found by pattern. Around each mention the words of a
-fixed window are its context. Over the whole corpus the share of a term's occurrences that stand in the context
-of one protected entity estimates P(entity | term), and so how strongly the term gives the entity away. Terms
-above a threshold are generalised, above a higher one removed, wherever they stand in that entity's context.
+Emails, IP addresses, payment cards and phone numbers are found by pattern. A term is a run of letters outside of
+them. Over the whole corpus the share of the texts with a term that mention one protected entity estimates
+P(entity | term), and so how strongly the term gives the entity away. Terms above a threshold are generalised,
+above a higher one removed, wherever they stand in the texts that mention that entity.
 """
 
 from __future__ import annotations
@@ -28,16 +28,17 @@ PATTERNS = {
 }
 #: What a text must hold for the pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Characters on either side of a mention, and the words there that count.
-REACH = 64
-TERM = r"(?<=[\s\p{P}])\p{L}{4,24}(?=[\s\p{P}])"
-#: A term needs so many mentions of the entity, and P(entity | term) of at least these.
+#: Stands for the characters of mentions, where terms are looked for; a word that touches it is no term.
+MASK = "\uffff"
+NO_TERM = r"\p{L}\x{FFFF}"
+TERM = rf"(?<![{NO_TERM}])\p{{L}}++(?!\x{{FFFF}})"
+#: A term needs so many texts that mention the entity, and P(entity | term) of at least these.
 SUPPORT, GENERALISE, REMOVE = 2, 0.5, 0.8
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, before, after>>: the matches with their places in code points (end
-    exclusive) and REACH characters around them. The pieces between matches give the places."""
+def matches(text: Column, pattern: str | Column) -> Column:
+    """array<struct<start, end, value>>: the matches with their places in code points (end exclusive). The pieces
+    between matches give the places."""
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
 
     def located(b: Column) -> Column:
@@ -50,14 +51,8 @@ def matches(text: Column, pattern: str) -> Column:
         )["out"]
         return let(
             starts,
-            lambda s: F.transform(
-                m,
-                lambda x, i: F.struct(
-                    F.get(s, i).alias("start"), (F.get(s, i) + F.length(x)).alias("end"), x.alias("value"),
-                    F.substring(F.get(p, i), -REACH, REACH).alias("before"), F.substring(F.get(p, i + 1), 1, REACH).alias("after"),
-                ),
-            ),
-        )
+            lambda s: F.transform(m, lambda x, i: F.struct(F.get(s, i).alias("start"), (F.get(s, i) + F.length(x)).alias("end"), x.alias("value"))),
+        )
 
     return let(both, located)
 
@@ -74,7 +69,7 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-_SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+_SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
 def mentions(text: Column, kind: str) -> Column:
@@ -83,9 +78,26 @@ def mentions(text: Column, kind: str) -> Column:
     return F.when(hint, found).otherwise(F.array().cast(_SPANS))
 
 
-def _terms(context: Column, at: Column) -> Column:
-    """The context's words with their places in the text, where the context starts at `at`."""
-    return F.transform(matches(context, TERM), lambda x: F.struct(F.lower(x["value"]).alias("term"), (at + x["start"]).alias("start"), (at + x["end"]).alias("end")))
+def masked(text: Column, base: Column) -> Column:
+    """The text with MASK for each character of the base spans, and nowhere else."""
+    text = F.translate(text, MASK, " ")
+    spans = F.array_sort(F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+
+    def put(a: Column, x: Column) -> Column:
+        from_ = F.greatest(x["start"], a["at"])
+        out = F.concat(a["out"], F.substring(text, a["at"] + 1, from_ - a["at"]), F.repeat(F.lit(MASK), x["end"] - from_))
+        return F.when(x["end"] <= a["at"], a).otherwise(F.struct(x["end"].alias("at"), out.alias("out")))
+
+    filled = let(F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, filled).otherwise(text)
+
+
+def _forms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def _lowered(forms: Column) -> Column:
+    return F.array_distinct(F.transform(forms, F.lower))
 
 
 def _joined(spans: Column) -> Column:
@@ -111,43 +123,52 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows.
     """
     src = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = src.select("key", *(mentions(F.col("text"), k).alias(k) for k in KINDS))
+    found = src.select("key", "text", *(mentions(F.col("text"), k).alias(k) for k in KINDS))
     base = F.flatten(F.array(*(_of_kind(F.col(k), n) for n, k in enumerate(KINDS))))
-    contexts = F.transform(
-        F.flatten(F.array(*KINDS)),
-        lambda x: F.struct(F.lower(x["value"]).alias("entity"), *(x[c].alias(c) for c in ("start", "end", "before", "after"))),
-    )
-    rows = written(found.select("key", F.monotonically_increasing_id().alias("row_no"), base.alias("base"), contexts.alias("contexts")), "privacy-base")
-
-    near = (
-        rows.filter(F.size("contexts") > 0)
-        .select("row_no", "base", F.explode("contexts").alias("c"))
-        .select(
-            "row_no", "base", "c.entity",
-            F.explode(F.concat(_terms(F.col("c.before"), F.col("c.start") - F.length("c.before")), _terms(F.col("c.after"), F.col("c.end")))).alias("t"),
-        )
-        .select("row_no", "entity", "base", "t.*")
-        .filter(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])))
-        .drop("base")
-    )
-    near = written(near, "privacy-contexts")
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= SUPPORT)
+    entities = F.array_distinct(F.transform(F.flatten(F.array(*KINDS)), lambda x: F.lower(x["value"])))
+    rows = found.select("key", "text", F.monotonically_increasing_id().alias("row_no"), base.alias("base"), entities.alias("entities"))
+    rows = written(rows.select("key", "row_no", "base", "entities", masked(F.col("text"), F.col("base")).alias("masked")), "privacy-base")
+
+    # Entities of a single text can't reach SUPPORT; a bounded bit filter leaves nearly all of them out early.
+    holders = rows.filter(F.size("entities") > 0)
+    shared = holders.select(F.explode("entities").alias("digest")).groupBy("digest").count().filter(F.col("count") >= SUPPORT)
+    near = written(holders.select("row_no", "entities", _forms(F.col("masked")).alias("forms")), "privacy-words")
+    near = probe(near.select("row_no", F.explode("entities").alias("digest"), "forms"), written(shared.select("digest"), "privacy-shared")).filter("maybe")
+    near = near.select("row_no", F.col("digest").alias("entity"), "forms")
+    # A text counts once for each of its entities and terms; partial counts meet, however common a pair is.
+    pairs = near.select("entity", F.explode(_lowered(F.col("forms"))).alias("term"))
+    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= SUPPORT)
     together = written(together, "privacy-pairs")
-    # How often each such term occurs in the whole corpus; a bounded bit filter leaves other words out early.
-    words = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\p{L}{4,24}"), F.lit(0))).alias("word"))
-    asked = probe(words.select(F.lower("word").alias("digest")), together.select(F.col("term").alias("digest")))
-    total = asked.filter("maybe").groupBy(F.col("digest").alias("term")).agg(F.count("*").alias("total"))
-    share = F.col("together") / F.greatest("together", "total")
+    # How many texts of the whole corpus hold each such term.
+    top = together.groupBy("term").agg(F.max("together").alias("top"))
+    words = rows.select(F.explode(_lowered(_forms(F.col("masked")))).alias("digest"))
+    total = probe(words, top.select(F.col("term").alias("digest"))).filter("maybe").groupBy(F.col("digest").alias("term")).agg(F.count("*").alias("total"))
+    # Terms that no entity can claim go before the join, so that a common word's pairs don't meet in a task.
+    total = written(top.join(total, "term").filter(F.col("top") >= GENERALISE * F.col("total")).select("term", "total"), "privacy-totals")
+    share = F.col("together") / F.col("total")
     telling = (
-        together.join(total, "term")
+        probe(together.withColumn("digest", F.col("term")), total.select(F.col("term").alias("digest")))
+        .filter("maybe")
+        .join(total, "term")
         .filter(share >= GENERALISE)
         .select("entity", "term", F.when(share >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS)).alias("kind"))
     )
-    # A place in the contexts of several entities takes the strictest verdict.
-    places = near.join(telling, ["entity", "term"]).groupBy("row_no", "start", "end").agg(F.max("kind").alias("kind"))
-    added = places.groupBy("row_no").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    telling = written(telling, "privacy-telling")
+    # A term of several entities of a text takes the strictest verdict.
+    pair = F.concat("entity", F.lit(MASK), "term")
+    asked = near.select("row_no", "entity", F.explode("forms").alias("form")).withColumn("term", F.lower("form"))
+    asked = probe(asked.withColumn("digest", pair), telling.select(pair.alias("digest"))).filter("maybe").drop("digest", "maybe")
+    verdicts = asked.join(telling, ["entity", "term"]).groupBy("row_no", "form").agg(F.max("kind").alias("kind"))
+    verdicts = written(verdicts.groupBy("row_no").agg(F.map_from_entries(F.collect_list(F.struct("form", "kind"))).alias("verdict")), "privacy-verdicts")
+    pattern = F.concat(F.lit(f"(?<![{NO_TERM}])(?:"), F.array_join(F.map_keys("verdict"), "|"), F.lit(f")(?![{NO_TERM}])"))
+    texts = probe(rows.select("row_no", "masked", F.col("row_no").alias("digest")), verdicts.select(F.col("row_no").alias("digest"))).filter("maybe")
+    places = F.transform(
+        matches(F.col("masked"), pattern),
+        lambda x: F.struct(F.element_at("verdict", x["value"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")),
+    )
+    added = texts.select("row_no", "masked").join(verdicts, "row_no").select("row_no", places.alias("added"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return rows.join(added, "row_no", "left").select(F.col("key").alias(key), "row_no", "base", F.coalesce("added", none).alias("added"))
+    return rows.select("key", "row_no", "base").join(added, "row_no", "left").select(F.col("key").alias(key), "row_no", "base", F.coalesce("added", none).alias("added"))
 
 
 def sanitised(text: Column, base: Column, added: Column) -> Column:
