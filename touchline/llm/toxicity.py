@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import doc_fold, table, unit_hash, written
 
 TOKEN = re.compile(r"[^\W\d_]+")
+#: Letters with digits and signs between them; one token if none of its TOKENs stands for a term.
+JOINED = re.compile(r"[^\W\d_]+(?:(?:[^\w\s]|[\d_])+[^\W\d_]+)+")
 FOLDS, HELD_OUT = 5, 0
 #: Bounds on the rows to learn from, and on the lexicon.
 SAMPLE_TOXIC, SAMPLE_CLEAN, LEXICON = 6000, 12000, 4000
@@ -33,6 +35,10 @@ CLEARLY = 0.5
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Edits allowed by the length of a term; stems must match exactly.
 EDITS = ((5, 1), (9, 2))
+#: Edits, at the first letter too, of what the stricter rule finds nothing for. Such matches count as of these
+#: distances, of plain and of JOINED tokens, and only as far as the sample's weights support them.
+LOOSE_EDITS = ((4, 1), (9, 2))
+LOOSE, MARKED = 10, 11
 SEED = 5
 #: What a misspelling that the sample doesn't hold weighs, as a share of its term's weight.
 UNSEEN = 0.7
@@ -49,20 +55,21 @@ QUOTED, REPORTED, ADDRESSED = 0.4, 0.7, 1.2
 STATES = 200_000
 
 
-def edits_for(term: str, stem: bool) -> int:
-    return 0 if stem else max([k for n, k in EDITS if len(term) >= n], default=0)
+def edits_for(term: str, stem: bool, edits: tuple[tuple[int, int], ...] = EDITS) -> int:
+    return 0 if stem else max([k for n, k in edits if len(term) >= n], default=0)
 
 
 class LexiconAutomaton:
     """The trie of terms, intersected with Levenshtein automata and made deterministic on demand."""
 
-    def __init__(self, terms: Iterable[tuple[str, bool]]):
-        """terms: (term, whether it is a stem)."""
+    def __init__(self, terms: Iterable[tuple[str, bool]], edits: tuple[tuple[int, int], ...] = EDITS, first: bool = False):
+        """terms: (term, whether it is a stem). first: the first letter may be edited."""
+        self.edits, self.first = edits, first
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[str, bool]]] = [[]]
         self.reach: list[int] = [0]  # the most edits that any term below allows
         for term, stem in sorted(terms):
-            at, k = 0, edits_for(term, stem)
+            at, k = 0, edits_for(term, stem, edits)
             self.reach[0] = max(self.reach[0], k)
             for c in term:
                 nxt = self.children[at].get(c)
@@ -81,7 +88,7 @@ class LexiconAutomaton:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple[frozenset, tuple | None]] = []
         self.moves: list[dict[str, int]] = []
-        self.start = self._state(frozenset({(0, 0)}), None)
+        self.start = self._state(frozenset(self._closed({0: 0}).items() if self.first else {(0, 0)}), None)
 
     def _state(self, pairs: frozenset, stem: tuple | None) -> int:
         key = (pairs, stem)
@@ -117,7 +124,7 @@ class LexiconAutomaton:
             child = self.children[node].get(c)
             if child is not None:
                 add(child, e) if e else out.__setitem__(child, 0)
-            if node:  # the first letter has to be right
+            if node or self.first:  # otherwise the first letter has to be right
                 add(node, e + 1)
                 for other in self.children[node].values():
                     add(other, e + 1)
@@ -143,7 +150,7 @@ class LexiconAutomaton:
             if not pairs:
                 return stem
         pairs, stem = self.states[state]
-        found = [(e, -len(t), t) for node, e in pairs for t, is_stem in self.ends[node] if not is_stem and e <= edits_for(t, False)]
+        found = [(e, -len(t), t) for node, e in pairs for t, is_stem in self.ends[node] if not is_stem and e <= edits_for(t, False, self.edits)]
         if stem is not None:
             found.append((0, -len(stem[0]), stem[0]))
         if not found:
@@ -157,6 +164,10 @@ class Lexicon:
     terms: list[tuple[str, bool]]
     #: log ratio of the frequencies in toxic and clean rows, by (term, distance)
     weights: dict[tuple[str, int], float] = field(default_factory=dict)
+    #: the stem that counts for a word, by the words which gave way to a stem
+    words: dict[str, str] = field(default_factory=dict)
+    #: (term, distance) and pooled distances of loose matches, and whether the sample supports them
+    supported: dict[tuple[str | None, int], bool] = field(default_factory=dict)
     #: logistic coefficients of features(); none without labels
     coef: np.ndarray | None = None
 
@@ -164,6 +175,14 @@ class Lexicon:
         w = self.weights.get((term, e))
         return max(0.0, UNSEEN * self.weights.get((term, 0), 0.0) if w is None else w)
 
+    def allows(self, term: str, e: int) -> bool:
+        """Whether a match counts: a loose one needs support of its own, or that of its kind and none against it.
+        Tokens with digits and signs inside need evidence against them to be left out."""
+        if e < LOOSE or self.supported.get((term, e)):
+            return True
+        w = self.weights.get((term, e))
+        return self.supported.get((None, e), e == MARKED) and (w is None or w >= MARGIN)
+
     def score(self, x: list[float]) -> float:
         if self.coef is None:
             return 0.01
@@ -172,13 +191,28 @@ class Lexicon:
 
 
 class Scorer:
-    def __init__(self, lexicon: Lexicon):
+    def __init__(self, lexicon: Lexicon, learning: bool = False):
+        """learning: loose matches of all terms are returned, not only of those that the sample supports."""
         self.lexicon = lexicon
-        self.automaton = LexiconAutomaton(lexicon.terms)
+        terms = [*lexicon.terms, *((w, False) for w in lexicon.words)]
+        self.automaton = LexiconAutomaton(terms)
+
+        def loose(e: int) -> LexiconAutomaton:
+            return LexiconAutomaton([(t, False) for t, stem in terms if not stem and (learning or lexicon.allows(lexicon.words.get(t, t), e))], LOOSE_EDITS, first=True)
+
+        self.loose = {e: loose(e) for e in (LOOSE, MARKED)}
         self.seen: dict[str, tuple[str, int] | None] = {}
 
+    def match(self, token: str) -> tuple[str, int] | None:
+        m = self.automaton.match(token)
+        if m is None:
+            e = LOOSE if TOKEN.fullmatch(token) else MARKED
+            if (m := self.loose[e].match(token)) is not None:
+                m = (m[0], e)
+        return m and (self.lexicon.words.get(m[0], m[0]), m[1])
+
     def hits(self, tokens: set[str]) -> dict[str, tuple[str, int]]:
-        seen, match = self.seen, self.automaton.match
+        seen, match = self.seen, self.match
         if len(seen) > 500_000:
             seen.clear()
         out = {}
@@ -191,6 +225,21 @@ class Scorer:
                 out[t] = m
         return out
 
+    def read(self, low: str) -> tuple[list[str], list[tuple[int, int]] | None, dict[str, tuple[str, int]]]:
+        """The tokens of a lower-case text, their spans where JOINED tokens are among them, and the hits."""
+        words = TOKEN.findall(low)
+        hits = self.hits(set(words))
+        joined = {m.span(): m.group() for m in JOINED.finditer(low)}
+        if hits and joined:
+            joined = {k: t for k, t in joined.items() if hits.keys().isdisjoint(TOKEN.findall(t))}
+        more = self.hits(set(joined.values())) if joined else {}
+        if not more:
+            return words, None, hits
+        taken = {k: t for k, t in joined.items() if t in more}
+        inside = {m.start() + a for (a, _), t in taken.items() for m in TOKEN.finditer(t)}
+        spans = sorted([*taken, *(m.span() for m in TOKEN.finditer(low) if m.start() not in inside)])
+        return [low[a:b] for a, b in spans], spans, hits | more
+
     def context(self, text: str, spans: list[tuple[int, int]], k: int, tokens: list[str]) -> tuple[float, bool]:
         """The factor for the match at token k, and whether it stands in quotation marks."""
         lo, hi = max(0, k - SPAN), min(len(tokens), k + SPAN + 1)
@@ -207,11 +256,10 @@ class Scorer:
     def features(self, text: str) -> list[float]:
         """Constant, log of the summed weights, of their density and of the largest, and log of the length."""
         low = text.lower()
-        words = TOKEN.findall(low)
-        hits = self.hits(set(words))
+        words, spans, hits = self.read(low)
         total = top = 0.0
         if hits:
-            spans = [m.span() for m in TOKEN.finditer(low)]
+            spans = spans or [m.span() for m in TOKEN.finditer(low)]
             met: dict[tuple[str, int], float] = {}
             for k, t in enumerate(words):
                 if t in hits:
@@ -290,6 +338,14 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     good = all_terms.withColumn("ratio", ratio).filter((F.col("t") >= SUPPORT) & (F.col("ratio") - Z * error >= MARGIN))
     rows = good.orderBy(F.desc("t"), "kind", "term").limit(LEXICON).collect()
     lexicon = Lexicon(choose_terms([(r["kind"], r["term"], r["t"], r["many"], r["top"], r["ratio"]) for r in rows]))
+    # The words of the bounded sample that stand above a stem and are more frequent in toxic rows: misspelt
+    # inside the stem, they count for it.
+    kept, stems = {t for t, stem in lexicon.terms if not stem}, {t for t, stem in lexicon.terms if stem}
+    if stems:
+        telling = by_word.filter((F.col("t") > 0) & (ratio >= MARGIN) & F.exists(F.array(*(F.substring("term", 1, k) for k in STEMS)), lambda x: x.isin(*stems)))
+        for r in telling.select("term").collect():
+            if r["term"] not in kept:
+                lexicon.words[r["term"]] = max((r["term"][:k] for k in STEMS if r["term"][:k] in stems), key=len)
     return _fitted(sample, _weighed(sample, lexicon, toxic, clean))
 
 
@@ -298,11 +354,12 @@ def _weighed(sample: DataFrame, lexicon: Lexicon, toxic: int, clean: int) -> Lex
     held = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer = Scorer(held.value, learning=True)
         for b in batches:
             out = []
             for text, mark in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                found = set(scorer.hits(set(TOKEN.findall((text or "").lower()))).values())
+                words, _, hits = scorer.read((text or "").lower())
+                found = {hits[w] for w in set(words) if w in hits}
                 # A misspelling is evidence where the row has no exact match.
                 exact = any(e == 0 for _, e in found)
                 out += [(t, e, mark) for t, e in found if e == 0 or not exact]
@@ -310,12 +367,27 @@ def _weighed(sample: DataFrame, lexicon: Lexicon, toxic: int, clean: int) -> Lex
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(es, pa.int32()), pa.array(marks, pa.bool_())], names=["term", "e", "toxic"])
 
     met = sample.select("text", "toxic").mapInArrow(run, "term string, e int, toxic boolean")
-    # A row for each of at most LEXICON terms and three distances.
+    # A row for each of at most LEXICON terms and five distances.
+    pooled: dict[int, tuple[int, int]] = {}
     for r in met.groupBy("term", "e").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")).collect():
-        lexicon.weights[(r["term"], r["e"])] = math.log((r["t"] + 0.5) / toxic) - math.log((r["c"] + 0.5) / max(1, clean))
+        lexicon.weights[(r["term"], r["e"])] = _ratio(r["t"], r["c"], toxic, clean)
+        if r["e"] >= LOOSE:
+            lexicon.supported[(r["term"], r["e"])] = r["t"] >= SUPPORT and _surely(r["t"], r["c"], toxic, clean, Z / 2)
+            t, c = pooled.get(r["e"], (0, 0))
+            pooled[r["e"]] = (t + r["t"], c + r["c"])
+    for e, (t, c) in pooled.items():
+        lexicon.supported[(None, e)] = _surely(t, c, toxic, clean, Z if e == LOOSE else 0.0)
     return lexicon
 
 
+def _ratio(t: int, c: int, toxic: int, clean: int) -> float:
+    return math.log((t + 0.5) / toxic) - math.log((c + 0.5) / max(1, clean))
+
+
+def _surely(t: int, c: int, toxic: int, clean: int, z: float) -> bool:
+    return _ratio(t, c, toxic, clean) - z * math.sqrt(1 / (t + 1) + 1 / (c + 1)) >= MARGIN
+
+
 def _fitted(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
     """Logistic coefficients from the sample's features: five numbers for each of a bounded number of rows."""
     held = sample.sparkSession.sparkContext.broadcast(lexicon)
