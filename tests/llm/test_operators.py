@@ -182,13 +182,57 @@ def test_backward_sampling_follows_the_lattice(vocabulary):
         parts = [word[a:b] for a, b in itertools.pairwise(at)]
         if all(p in vocabulary.pieces for p in parts):
             ways.append((tuple(vocabulary.pieces[p][0] for p in parts), math.exp(sum(vocabulary.pieces[p][1] for p in parts))))
-    sampler = segmentation.Sampler(vocabulary)
-    n = 40_000
-    ids, bounds = sampler.sample([" the"] * n, np.arange(n, dtype=np.uint64))
-    seen = Counter(tuple(ids[a:b].tolist()) for a, b in itertools.pairwise(bounds))
-    total = sum(p for _, p in ways)
-    assert set(seen) <= {w for w, _ in ways}
-    assert all(abs(seen[w] / n - p / total) < 0.01 for w, p in ways)
+    for short in (64, 2):  # remembered lattices, and walks of long pre-tokens
+        sampler = segmentation.Sampler(vocabulary, short=short)
+        n = 40_000 if short > 2 else 8_000
+        ids, counts = sampler.encode([" the"] * n, np.arange(n, dtype=np.uint64))
+        bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        seen = Counter(tuple(ids[a:b].tolist()) for a, b in itertools.pairwise(bounds))
+        total = sum(p for _, p in ways)
+        assert set(seen) <= {w for w, _ in ways}
+        assert all(abs(seen[w] / n - p / total) < (0.01 if short > 2 else 0.02) for w, p in ways)
+
+
+def longest_texts():
+    rng = random.Random(9)
+    hundred = "".join(rng.choices("abcdefghij", k=100))
+    return [hundred, f"so {hundred}, {hundred[:70]}", "".join(rng.choices("etaoinshr", k=30_000)), "日本語の文" * 300, "🙂" * 90, "-" * 200, " " * 500 + "x"]
+
+
+def test_long_words_count_and_segment_whole(spark, vocabulary):
+    texts = longest_texts()
+    assert [w for w in pieces.pre_tokens(texts[2])] == [texts[2]]
+    counter = token_counts.TrieCounter(vocabulary)
+    for t, (n, k) in zip(texts, counter.count(texts), strict=True):
+        words = pieces.pre_tokens(t)
+        if len(t) < 2_000:
+            assert (n, k) == (len(words), sum(best(vocabulary, w) for w in words))
+    # The trie's scores and the window's are the same.
+    plain = token_counts.TrieCounter(vocabulary, short=1 << 20)
+    assert plain.count(texts) == counter.count(texts)
+    tight = token_counts.TrieCounter(vocabulary, nodes=1)
+    assert [tight.count([t])[0] for t in texts] == counter.count(texts)
+    df = docs(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    assert all(r["lossless"] and r["n_pieces"] > 0 for r in segmentation.round_trip(df).collect())
+
+
+def test_parts_of_a_very_long_text(spark, vocabulary, monkeypatch):
+    text = " ".join(prose(30) + " ab" * 40 for _ in range(20))
+    whole = segmentation.Sampler(vocabulary).encode([text], np.array([5], np.uint64))[0]
+    monkeypatch.setattr(segmentation, "CHARS", 100)
+    monkeypatch.setattr(segmentation, "PART", 7)
+    few = segmentation.Sampler(vocabulary, edges=10)
+    assert few.encode([text], np.array([5], np.uint64))[0].tolist() == whole.tolist()
+    assert segmentation.Speller(vocabulary.bytes_of()).text(whole) == text
+
+
+def test_encode_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", ("x",), 3), (1, "a b", ("x",), 3)], "doc_id long, text string, `odd col` struct<`a b`:string>, ids int")
+    out = segmentation.decode(segmentation.encode(df, decoded="my text"))
+    assert out.columns == ["doc_id", "text", "odd col", "ids", "my text", "decoded"]
+    rows = out.collect()
+    assert rows[0] == rows[1] and rows[0]["decoded"] == rows[0]["my text"] == "a b" and rows[0]["odd col"]["a b"] == "x"
+    assert segmentation.encode(df.limit(0)).count() == 0
 
 
 # --- language and toxicity ----------------------------------------------------------------------------------
