@@ -98,7 +98,7 @@ def test_mixing_meets_targets(spark):
     for r in got:
         s = source[r["doc_id"]]
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s])
-        assert r["taken"] <= 3 * r["size"]
+        assert r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"] and len(r["shards"]) == r["copies"]
         taken[s] += r["taken"]
     assert len(got) == len(rows)
     assert all(abs(taken[s] - want[s]) <= 31 for s in sizes)
@@ -106,6 +106,30 @@ def test_mixing_meets_targets(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again.collect())
 
 
+def test_every_mix_is_split_into_shards(spark, monkeypatch):
+    """Even a small one; shards are of about one size and hold about their share of each source."""
+    monkeypatch.setattr(mixing, "RANKED", 2)
+    monkeypatch.setattr(mixing, "CHUNK", 3)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 2)
+    rows = [(i, "w " * (5 + i % 3), f"s{i * i % 11}") for i in range(900)]
+    got = mixing.taken_words(docs(spark, rows)).collect()
+    by_shard = Counter(k for r in got for k in r["shards"])
+    assert set(by_shard) == set(range(mixing.MIN_SHARDS)) and max(by_shard.values()) < 2 * min(by_shard.values())
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(ws(t))
+    want, taken = targets(sizes), defaultdict(int)
+    for r in got:
+        taken[rows[r["doc_id"]][2]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 4 for s in sizes)
+
+
+def test_mixing_takes_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c", None, 2), (2, None, "x", 3)], "`my.id` long, `the text` string, source string, mix_size int")
+    out = mixing.taken_words(df, key="my.id", text="the text")
+    assert sorted((r["my.id"], r["size"]) for r in out.collect()) == [(1, 3), (2, 0)]
+
+
 def test_mixed_documents_keep_columns(spark):
     df = docs(spark, EDGE)
     out = mixing.mixed_documents(df)
@@ -344,6 +368,7 @@ def edited(text, n):
 def test_near_components(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 4)
     monkeypatch.setattr(near_dedup, "HOT", 6)
+    monkeypatch.setattr(near_dedup, "DEAL", 3)
     shared = prose(60)
     rows = EDGE + [(1000 + i, edited(BASE, i % 12), "a") for i in range(60)] + [(2000 + i, f"{shared} {prose(40)}", "b") for i in range(30)]
     got = near_dedup.near_components(docs(spark, rows)).collect()
@@ -361,6 +386,21 @@ def test_shingle_hashes_follow_the_words():
     assert len(pairs) == len(set(words)) == len(set(hashed.tolist()))
 
 
+def thue_morse(n):
+    """A word and its complement, which any polynomial hash modulo a power of two takes for the same."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_thue_morse_words_are_told_apart(spark, n):
+    a, b = thue_morse(n)
+    hashed, _ = shingles.word_hashes([a.encode(), b.encode()])
+    assert hashed[0] != hashed[1]
+    got = near_dedup.near_components(docs(spark, [(1, a, "x"), (2, b, "x"), (3, a.upper(), "x")])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2), (3, 1)]
+
+
 def test_setsketch_estimates_jaccard():
     sketch = shingles.SetSketch(400)
     rng = np.random.default_rng(1)

@@ -44,6 +44,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__ and so on that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of that name, dots and spaces in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; pure ASCII rows take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

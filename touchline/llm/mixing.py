@@ -4,7 +4,8 @@ Every source's rows are dealt by a hash into blocks, which a bijection puts in a
 whole blocks in that order, in as many passes as the target asks for; the last block is drawn row by row. How
 many of each source's draws go to which output shard is settled by a multivariate-hypergeometric splitting
 tree: a node's exact quotas are split between its halves, source by source, down to the shards. A shard takes
-disjoint stretches of each source's block order and is shuffled by itself.
+disjoint stretches of each source's block order and is shuffled by itself. Rows with their texts meet only the
+table of drawn blocks; what needs an order are blocks, sources and the rows of one block a source.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, unit_hash, word_count, written
+from .common import quoted, table, unit_hash, word_count, written
+from .graph import hinted
 
 #: Sources by code point, null last, weigh these in turn.
 WEIGHTS = (1, 2, 3)
@@ -25,8 +27,12 @@ WEIGHTS = (1, 2, 3)
 MAX_PASSES = 3
 #: A block holds at most about so many words and rows.
 BLOCK_WORDS, BLOCK_ROWS = 4096, 64
-#: Words of an output shard.
-SHARD_WORDS = 1 << 24
+#: Words of an output shard, and how many shards there are at least.
+SHARD_WORDS, MIN_SHARDS = 1 << 24, 8
+#: Quotas that are split in one step of a fold.
+CHUNK = 64
+#: Sources that are ranked and summed in one task.
+RANKED = 1 << 18
 SEED = 20_240_501
 #: Source tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
@@ -91,8 +97,9 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
 def split(tree: DataFrame, seed: int) -> DataFrame:
     """One level of the tree. tree: node, quotas (array of no, q); half of a node's draws go left."""
     total = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x["q"])
-    none = F.array().cast("array<struct<no:int,q:long>>")
-    start = F.struct(F.col("total").alias("rest"), F.expr("total div 2").alias("need"), none.alias("left"))
+    kind = "array<struct<no:int,q:long>>"
+    start = F.struct(F.col("total").alias("rest"), F.expr("total div 2").alias("need"), F.array().cast(f"array<{kind}>").alias("left"))
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("quotas") / CHUNK) - 1, F.lit(0)).cast("int")), lambda i: F.slice("quotas", i * CHUNK + 1, F.lit(CHUNK)))
 
     def draw(acc: Column, x: Column) -> Column:
         u = unit_hash(F.lit(seed), F.col("node"), x["no"])
@@ -105,7 +112,14 @@ def split(tree: DataFrame, seed: int) -> DataFrame:
             ),
         )
 
-    left = F.aggregate("quotas", start, draw)["left"]
+    def draw_chunk(acc: Column, chunk: Column) -> Column:
+        inner = F.struct(acc["rest"].alias("rest"), acc["need"].alias("need"), F.array().cast(kind).alias("left"))
+        return let(
+            F.aggregate(chunk, inner, draw),
+            lambda got: F.struct(got["rest"].alias("rest"), got["need"].alias("need"), F.array_append(acc["left"], got["left"]).alias("left")),
+        )
+
+    left = F.flatten(F.aggregate(chunks, start, draw_chunk)["left"])
     right = F.zip_with("quotas", "left", lambda a, b: F.struct(a["no"].alias("no"), (a["q"] - b["q"]).alias("q")))
     halves = F.array(
         F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quotas")),
@@ -114,6 +128,21 @@ def split(tree: DataFrame, seed: int) -> DataFrame:
     return tree.withColumn("total", total).withColumn("left", left).select(F.explode(halves).alias("h")).select("h.*")
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], rows: int) -> DataFrame:
+    """df with columns that sum over the rows before in the given order, which ties don't leave open.
+
+    Ranges of about RANKED rows are summed by themselves; only a row for each range meets in one task.
+    """
+    laid = df.repartitionByRange(max(1, -(-rows // RANKED)), *order).withColumn("range_", F.spark_partition_id())
+    laid = written(laid.withColumns({f"{k}_own": v for k, v in sums.items()}), "mix-ranges")
+    whole = laid.groupBy("range_").agg(*(F.sum(f"{k}_own").alias(f"{k}_all") for k in sums))
+    earlier = W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    ranges = whole.select("range_", *(F.coalesce(F.sum(f"{k}_all").over(earlier), F.lit(0)).alias(f"{k}_base") for k in sums))
+    inside = W.partitionBy("range_").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = laid.join(F.broadcast(ranges), "range_").withColumns({k: F.coalesce(F.sum(f"{k}_own").over(inside), F.lit(0)) + F.col(f"{k}_base") for k in sums})
+    return out.drop("range_", *(f"{k}_{x}" for k in sums for x in ("own", "base")))
+
+
 def plan_sources(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
     """One row per source with its target, from items (source, size).
 
@@ -121,27 +150,26 @@ def plan_sources(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passe
     there and the excess is shared out again. In order of size per weight, the sources that stop come first,
     and the level of the others is the first one that its own source can reach.
     """
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = W.orderBy(F.col("cap") / F.col("weight"), "source_no")
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy(F.lit(1))
-    # One row per source from here on: the windows over all of them hold no rows of the table itself.
-    one = (
-        items.groupBy("source")
-        .agg(F.sum("size").alias("size"), F.count("*").alias("n_rows"))
-        .withColumn("source_no", (F.row_number().over(by_name) - 1).cast("int"))
-        .withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod("source_no", F.lit(len(weights))) + 1))
-        .withColumn("cap", (F.col("size") * max_passes).cast("double"))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weighed", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.sum("size").over(everything) - F.col("capped")) / (F.sum("weight").over(everything) - F.col("weighed")))
-        .withColumn("level", F.min_by("level", F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("cap") / F.col("weight"))).over(everything))
-        .withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))))
-    )
+    one = written(items.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n_rows")), "mix-sizes")
+    n = one.count()
+    # Null sources come last: by code point, as strings compare in Spark.
+    by_name = [F.col("source").isNull(), F.col("source")]
+    ranked = running(one, by_name, {"source_no": F.lit(1).cast("long")}, n).withColumn("source_no", F.col("source_no").cast("int"))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod("source_no", F.lit(len(weights))) + 1)
+    ranked = ranked.withColumn("weight", weight).withColumn("cap", (F.col("size") * max_passes).cast("double"))
+    by_ratio = [F.col("cap") / F.col("weight"), F.col("source_no")]
+    level_at = running(ranked, by_ratio, {"capped": F.col("cap"), "weighed": F.col("weight")}, n)
+    sums = ranked.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    reach = F.col("cap") / F.col("weight")
+    level = (F.lit(float(sums["size"] or 0)) - F.col("capped")) / (F.lit(float(sums["weight"] or 1)) - F.col("weighed"))
+    reached = level_at.select(level.alias("level"), reach.alias("reach"), "source_no").filter("level <= reach").agg(F.min_by("level", F.struct("reach", "source_no")).alias("level")).first()["level"]
+    # Without words in any source every target is 0, its cap.
+    target = F.col("cap") if reached is None else F.least("cap", F.lit(reached) * F.col("weight"))
     size = F.greatest(F.col("size"), F.lit(1))
     blocks = F.greatest(F.col("size") / BLOCK_WORDS, F.col("n_rows") / BLOCK_ROWS, F.lit(1.0))
     return (
-        one.withColumn("passes", F.least(F.lit(max_passes), F.floor(F.col("target") / size)).cast("int"))
+        ranked.withColumn("target", target)
+        .withColumn("passes", F.least(F.lit(max_passes), F.floor(F.col("target") / size)).cast("int"))
         .withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("size")))
         .withColumn("bits", F.ceil(F.log2(blocks)).cast("int"))
         .select("source", "source_no", "size", "n_rows", "target", "passes", "rest", "bits")
@@ -152,28 +180,28 @@ def sized(docs: DataFrame, key: str, text: str, source: str, seed: int = SEED) -
     """docs with source, size (words) and place (a hash of the row's key and text)."""
     return docs.select(
         "*",
-        F.col(f"`{source}`").alias("mix_source"),
-        word_count(F.col(f"`{text}`")).alias("mix_size"),
-        F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`")).alias("mix_place"),
+        quoted(source).alias("mix_source"),
+        word_count(quoted(text)).alias("mix_size"),
+        F.xxhash64(F.lit(seed), quoted(key), quoted(text)).alias("mix_place"),
     )
 
 
 def mix(
-    rows: DataFrame, items: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES,
+    rows: DataFrame, items: DataFrame | None = None, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES,
     shard_words: int = SHARD_WORDS, seed: int = SEED,
 ) -> Mix:
     """Draw rows (from sized()) so that each source's words come near its target.
 
     items: the same rows' mix_source, mix_size and mix_place from a written table, where rows itself is costly
-    to read. A source's words are off its target by half a row's size at most. A row is drawn max_passes
+    to read; size: the words of one of its rows. A source's words are off its target by half a row's size at most. A row is drawn max_passes
     times at most; rows without words may be drawn but count nothing. Sources without words, and empty tables,
     have the target 0. Null is a source. The result depends on keys, texts and seed alone.
     """
-    items = rows if items is None else items
+    items, size = rows if items is None else items, F.col("mix_size") if size is None else size
     narrow = items.select(F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), F.col("mix_place").alias("place"))
     sources = written(plan_sources(narrow, weights, max_passes), "mix-sources")
     total = sources.agg(F.count("*").alias("n"), F.sum("target").alias("words")).first()
-    depth = max(0, math.ceil(math.log2(max(1.0, (total["words"] or 0.0) / shard_words))))
+    depth = math.ceil(math.log2(max(MIN_SHARDS, (total["words"] or 0.0) / shard_words)))
     known = F.broadcast(sources) if total["n"] <= BROADCAST_SOURCES else sources
 
     def located(df: DataFrame, source: str, place: str) -> DataFrame:
@@ -200,7 +228,7 @@ def mix(
         per_block.withColumn("in_before", F.coalesce(F.sum("words").over(inner), F.lit(0)))
         .join(stretches, ["source_no", "stretch"])
         .withColumn("cut", F.col("rest") - F.col("s_before") - F.col("in_before"))
-        .select("source_no", "block", "passes", "bits", "cut")
+        .select("source_no", "block", "passes", "bits", "cut", "words")
     )
     blocks = written(blocks, "mix-cuts")
 
@@ -226,17 +254,17 @@ def mix(
     places = places.join(F.broadcast(bits) if total["n"] <= BROADCAST_SOURCES else bits, "source_no").select(
         "source_no", (F.expr("at & (shiftleft(1L, b) - 1L)")).alias("block"), F.expr("shiftright(at, b)").cast("int").alias("mix_pass"), (F.col("shard") - (1 << depth)).alias("mix_shard")
     )
-    drawn = written(places.join(blocks.select("source_no", "block", "cut"), ["source_no", "block"]), "mix-draws")
-
+    drawn = places.join(blocks.select("source_no", "block", "cut", (F.col("words") <= F.col("cut")).alias("inside"), F.col("passes").alias("full")), ["source_no", "block"])
+    drawn = written(drawn.withColumn("whole", (F.col("mix_pass") < F.col("full")) | F.col("inside")).drop("full", "inside"), "mix-draws")
+    n_drawn = drawn.count()
+    held = located(rows, "mix_source", "mix_place")
+    whole = held.join(hinted(drawn.filter("whole").drop("whole", "cut"), n_drawn), ["source_no", "block"])
+    # One block a source is drawn in part; of its rows those come first whose hash is less.
     order = W.partitionBy("source_no", "block").orderBy("mix_place").rowsBetween(W.unboundedPreceding, -1)
-    draws = (
-        located(rows, "mix_source", "mix_place")
-        .withColumn("mix_before", F.coalesce(F.sum("mix_size").over(order), F.lit(0)))
-        .join(drawn, ["source_no", "block"])
-        .filter((F.col("mix_pass") < F.col("passes")) | (F.col("mix_before") + F.col("mix_size") / 2 <= F.col("cut")))
-        .drop("mix_before", "passes", "rest", "bits", "cut", "block")
-    )
-    return Mix(sources, draws)
+    part = held.join(hinted(drawn.filter("not whole").drop("whole"), total["n"]), ["source_no", "block"]).withColumn("mix_words", size)
+    before = F.coalesce(F.sum("mix_words").over(order), F.lit(0))
+    part = part.withColumn("mix_before", before).filter(F.col("mix_before") + F.col("mix_words") / 2 <= F.col("cut")).drop("mix_before", "mix_words", "cut")
+    return Mix(sources, whole.unionByName(part).drop("passes", "rest", "bits", "block"))
 
 
 def _permuted(block: Column, odd: Column, shift: Column, mask: Column) -> Column:
@@ -246,11 +274,16 @@ def _permuted(block: Column, odd: Column, shift: Column, mask: Column) -> Column
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix with the columns of docs: a row for each draw, dealt by shard and shuffled within it."""
+    """The mix with the columns of docs: a row for each draw, dealt by shard and shuffled within it.
+
+    Null texts have no words and may be drawn with their block; null is a source; repeated rows are drawn each;
+    an empty table gives no rows. Texts of any length count whole: a source's words are off its target by half a
+    text at most.
+    """
     rows = sized(docs, key, text, source)
     items = written(rows.select("mix_source", "mix_size", "mix_place"), "mix-items")
-    held = rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "mix_source", "mix_size", "mix_place")
-    draws = mix(held, items, **options).draws
+    held = rows.select(F.struct(*(quoted(c) for c in docs.columns)).alias("row"), "mix_source", "mix_place")
+    draws = mix(held, items, word_count(F.col("row").getField(text)), **options).draws
     return (
         draws.repartition("mix_shard", F.pmod("mix_place", F.lit(16)))
         .sortWithinPartitions("mix_shard", F.xxhash64("mix_place", "mix_pass"))
@@ -259,20 +292,25 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
 
 
 def taken_words(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """Per row of docs: key, size, source_size, target, taken and copies; rows that the mix leaves out take 0."""
-    sized_rows = sized(docs.select(key, text, source), key, text, source).select(
-        F.col(f"`{key}`").alias("mix_key"), F.monotonically_increasing_id().alias("mix_row"), "mix_source", "mix_size", "mix_place"
-    )
+    """Per row of docs: key, size, source_size, target, taken, copies and shards (the output shard of each copy).
+
+    Rows that the mix leaves out take 0; null texts have no words; null is a source; repeated rows are drawn
+    each; an empty table gives no rows. Other columns are ignored.
+    """
+    plain = docs.select(quoted(key).alias("key"), quoted(text).alias("text"), quoted(source).alias("source"))
+    sized_rows = sized(plain, "key", "text", "source").select(F.col("key").alias("mix_key"), F.monotonically_increasing_id().alias("mix_row"), "mix_source", "mix_size", "mix_place")
     rows = written(sized_rows, "mix-items")
     mixed = mix(rows, **options)
-    got = mixed.draws.groupBy("mix_row").agg(F.sum("mix_size").alias("taken"), F.count("*").alias("copies"))
+    got = mixed.draws.groupBy("mix_row").agg(
+        F.sum("mix_size").alias("taken"), F.count("*").alias("copies"), F.sort_array(F.collect_list(F.col("mix_shard").cast("int"))).alias("shards")
+    )
     s = mixed.sources.select("source", F.col("size").alias("source_size"), "target")
     return (
         rows.join(got, "mix_row", "left")
         .join(s, F.col("mix_source").eqNullSafe(F.col("source")))
         .select(
             F.col("mix_key").alias(key), F.col("mix_size").alias("size"), "source_size", "target",
-            F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"),
+            F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"),
         )
     )
 
