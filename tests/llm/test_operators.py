@@ -274,6 +274,20 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(df, None).collect()} == {"und"}
 
 
+def test_language_of_very_long_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    sounds = {"aa": "ka lo mi ra tu".split(), "bb": "sch ein ung über zt".split()}
+    prose_of = lambda la, n: " ".join("".join(rng.choices(sounds[la], k=3)) for _ in range(n))
+    langs = ["aa", "bb"] * 20
+    model = language.train([prose_of(la, 60) for la in langs], langs)
+    texts = [prose_of(langs[i % 2], n).encode() for i, n in enumerate([5, 3000, 40, 1, 2500, 700])] + [b"x" * n for n in (1023, 1024, 1025, 1027, 1028, 2051)]
+    tables = model.folded()
+    whole = language.predict(model, tables, texts)
+    monkeypatch.setattr(language, "CHUNK", 1024)
+    parts = language.predict(model, tables, texts)
+    assert [a for a, _ in parts] == [a for a, _ in whole] and np.allclose([x for _, x in parts], [x for _, x in whole])
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -432,7 +446,9 @@ def test_media_round_trip(spark):
         assert media.read_payload(bytes(r["media"]), track) == payload
         first, last = track.keyframes[0], track.keyframes[-1]
         assert bytes(r["media"])[first[0] : first[1]] == payload[:192] and last[1] - last[0] == 192
+        assert [tuple(x) for x in r["keyframe_ranges"]] == [tuple(x) for x in track.keyframes.tolist()] and len(track.keyframes) == r["keyframes"]
     assert len(got) == len(EDGE)
+    assert media.media_features(docs(spark, EDGE).limit(0)).count() == 0
 
 
 def test_boxes_are_checked():

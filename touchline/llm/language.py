@@ -13,10 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import doc_fold, table, unit_hash
+from .common import doc_fold, quoted, table, unit_hash
+from .pieces import groups
 
 #: Positions in a window. A filter that starts at its last position reads REACH bytes beyond it.
 WINDOW, REACH = 256, 3
@@ -32,6 +35,8 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 #: Positions whose filter values are held at a time.
 _STEP = 1 << 15
+#: Bytes of text that are predicted together; what is longer goes through alone, in parts of this size.
+CHUNK = 1 << 20
 
 
 @dataclass
@@ -50,7 +55,8 @@ class ByteCnn:
 
 
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows' bytes in a row (and REACH zeros), each window's text, and its bytes that aren't padding."""
+    """All windows' bytes in a row (and REACH zeros), each window's text, and its bytes that aren't padding. A
+    text ends with REACH zeros at least."""
     padded = [t + b"\0" * ((-len(t) - REACH) % WINDOW + REACH) for t in texts]
     data = np.frombuffer(b"".join(padded) + b"\0" * REACH, np.uint8)
     owner = np.repeat(np.arange(len(texts)), [len(p) // WINDOW for p in padded])
@@ -58,19 +64,24 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, owner, weight
 
 
-def pooled(model: ByteCnn, tables: tuple[np.ndarray, np.ndarray], data: np.ndarray) -> np.ndarray:
-    """The filters' maxima for each window."""
-    n = (len(data) - REACH) // WINDOW
-    pairs = data[:-1].astype(np.int32) << 8 | data[1:]
+def pooled(model: ByteCnn, tables: tuple[np.ndarray, np.ndarray], data: np.ndarray, owner: np.ndarray, ends: bool = True) -> np.ndarray:
+    """The filters' maxima for each window. What a text's last window reaches beyond it are zeros, whatever text
+    comes next; with `ends` false the texts go on after the last of these windows."""
+    n = len(owner)
     out = np.empty((n, tables[0].shape[1]), np.float32)
     a = np.empty((_STEP, out.shape[1]), np.float32)
     b = np.empty_like(a)
+    last = np.append(owner[1:] != owner[:-1], ends)
+    zeros = tables[0][0] + tables[1][0]
     for at in range(0, n * WINDOW, _STEP):
         m = min(_STEP, n * WINDOW - at)
-        np.take(tables[0], pairs[at : at + m], 0, out=a[:m], mode="clip")
-        np.take(tables[1], pairs[at + 2 : at + m + 2], 0, out=b[:m], mode="clip")
+        pairs = data[at : at + m + 2].astype(np.int32) << 8 | data[at + 1 : at + m + 3]
+        np.take(tables[0], pairs[:m], 0, out=a[:m], mode="clip")
+        np.take(tables[1], pairs[2:], 0, out=b[:m], mode="clip")
         np.add(a[:m], b[:m], out=a[:m])
-        a[:m].reshape(-1, WINDOW, out.shape[1]).max(1, out=out[at // WINDOW : (at + m) // WINDOW])
+        z = a[:m].reshape(-1, WINDOW, out.shape[1])
+        z[np.flatnonzero(last[at // WINDOW : (at + m) // WINDOW]), WINDOW - REACH :] = zeros
+        z.max(1, out=out[at // WINDOW : (at + m) // WINDOW])
     return np.maximum(out + model.bias.astype(np.float32), 0)
 
 
@@ -79,11 +90,26 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def predict(model: ByteCnn, tables: tuple[np.ndarray, np.ndarray], texts: list[str]) -> list[tuple[str, float]]:
-    data, owner, weight = windows_of([t.encode() for t in texts])
-    p = softmax(pooled(model, tables, data) @ model.head + model.head_bias) * (weight + 1e-9)[:, None]
+def predict(model: ByteCnn, tables: tuple[np.ndarray, np.ndarray], texts: list[bytes]) -> list[tuple[str, float]]:
+    """The mean of each text's windows, weighted by their bytes. A long text goes through in parts of whole windows."""
     total = np.zeros((len(texts), len(model.labels)))
-    np.add.at(total, owner, p)
+
+    def add(data: np.ndarray, owner: np.ndarray, weight: np.ndarray, ends: bool = True) -> None:
+        p = softmax(pooled(model, tables, data, owner, ends) @ model.head + model.head_bias) * (weight + 1e-9)[:, None]
+        np.add.at(total, owner, p)
+
+    for start, stop in groups([len(t) for t in texts], CHUNK):
+        if len(texts[stop - 1]) > CHUNK:
+            long = np.frombuffer(texts[stop - 1], np.uint8)
+            at = 0
+            while len(long) - at > CHUNK + REACH:
+                add(long[at : at + CHUNK + REACH], np.full(CHUNK // WINDOW, stop - 1), np.count_nonzero(long[at : at + CHUNK].reshape(-1, WINDOW), axis=1), ends=False)
+                at += CHUNK
+            rest = texts[stop - 1][at:]
+        else:
+            rest = texts[stop - 1]
+        data, owner, weight = windows_of([*texts[start : stop - 1], rest])
+        add(data, owner + start, weight)
     total /= np.maximum(total.sum(1, keepdims=True), 1e-12)
     best = total.argmax(1)
     return [(model.labels[k], float(min(1.0, total[i, k]))) for i, k in enumerate(best)]
@@ -142,17 +168,19 @@ def train(texts: list[str], langs: list[str], seed: int = SEED, epochs: int = EP
 
 
 def training_sample(rows: DataFrame, key: str, text: str, lang: str, bound: int = SAMPLE_TEXTS) -> tuple[list[str], list[str]]:
-    """Stretches of text and their languages: about bound texts, as many of each language, picked by a hash."""
-    known = rows.filter(F.col(lang).isNotNull() & (F.length(F.col(text)) > 0))
-    counts = known.groupBy(F.col(lang).alias("of")).agg(F.count("*").alias("n"))
+    """Stretches of text and their languages: about bound texts, as many of each language, picked by a hash of
+    key and text. Where repeated rows bring more than twice that, those with the least hashes are taken."""
+    known = rows.select(quoted(key).alias("key"), quoted(text).alias("text"), quoted(lang).alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
     langs = counts.count()
     if langs > MAX_LANGUAGES:
         raise ValueError(f"{langs} languages; the network is built for {MAX_LANGUAGES} at most")
     share = F.broadcast(counts.select("of", (F.lit(bound / max(1, langs)) / F.col("n")).alias("share")))
-    picked = known.join(share, F.col(lang) == F.col("of")).filter(unit_hash(F.lit(SEED), F.col(key)) < F.col("share"))
-    at = [unit_hash(F.lit(SEED + 1 + k), F.col(key)) for k in range(STRETCHES)]
-    parts = F.array(*(F.substring(F.col(text), (a * F.greatest(F.length(text) - CHARS, F.lit(1))).cast("int") + 1, F.lit(CHARS)) for a in at))
-    got = picked.select(F.col(lang).alias("lang"), F.explode(F.array_distinct(parts)).alias("part")).limit(2 * bound * STRETCHES).collect()
+    picked = known.join(share, F.col("lang") == F.col("of")).withColumn("order", unit_hash(F.lit(SEED), F.col("key"), F.col("text"))).filter("order < share")
+    at = [unit_hash(F.lit(SEED + 1 + k), F.col("key")) for k in range(STRETCHES)]
+    parts = F.array(*(F.substring("text", (a * F.greatest(F.length("text") - CHARS, F.lit(1))).cast("int") + 1, F.lit(CHARS)) for a in at))
+    each = picked.select("lang", "order", F.explode(F.array_distinct(parts)).alias("part"))
+    got = each.orderBy("order", "lang", "part").limit(2 * bound * STRETCHES).select("lang", "part").collect()
     got = sorted((r["lang"], r["part"]) for r in got)
     return [p for _, p in got], [x for x, _ in got]
 
@@ -160,10 +188,10 @@ def training_sample(rows: DataFrame, key: str, text: str, lang: str, bound: int
 def identify(df: DataFrame, model: ByteCnn | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of df: key, lang_pred and score.
 
-    Null texts and texts without a letter are `und` with the score 0, as is everything without a model.
-    Repeated rows and other columns don't matter. Memory is bounded by a batch of texts.
+    Null texts and texts without a letter are `und` with the score 0, as is everything without a model; of
+    languages that tie the first by name is taken. Repeated rows and other columns don't matter; an empty table
+    gives no rows. Texts are read whole, CHUNK bytes of windows at a time, however long.
     """
-    id_type = df.schema[key].dataType.simpleString()
     held = df.sparkSession.sparkContext.broadcast(model)
     folded: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -173,10 +201,11 @@ def identify(df: DataFrame, model: ByteCnn | None, key: str = "doc_id", text: st
             folded["t"] = model.folded()
         for b in batches:
             langs, scores = [], []
-            for at in range(0, b.num_rows, 256):
-                texts = b.column("text").slice(at, 256).to_pylist()
+            column = b.column("text")
+            for start, stop in groups(pc.fill_null(pc.binary_length(column), 0).to_pylist(), CHUNK):
+                texts = column.slice(start, stop - start).to_pylist()
                 has = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-                got = predict(model, folded["t"], [texts[i] for i in has]) if has and model is not None else []
+                got = predict(model, folded["t"], [texts[i].encode() for i in has]) if has and model is not None else []
                 found = dict(zip(has, got, strict=False))
                 for i in range(len(texts)):
                     lang, score = found.get(i, (UNKNOWN, 0.0))
@@ -184,8 +213,8 @@ def identify(df: DataFrame, model: ByteCnn | None, key: str = "doc_id", text: st
                     scores.append(score)
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[key, "lang_pred", "score"])
 
-    src = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return src.mapInArrow(run, f"`{key}` {id_type}, lang_pred string, score double")
+    src = df.select(quoted(key).alias("key"), quoted(text).alias("text"))
+    return src.mapInArrow(run, T.StructType([T.StructField(key, src.schema["key"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def query(spark, sf_dir):

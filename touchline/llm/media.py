@@ -16,9 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import quoted, table
 
 #: Bytes of one stored sample; payloads are padded with spaces to a positive multiple.
 UNIT = 192
@@ -178,27 +178,34 @@ def feature(track: Track) -> str:
 
 SCHEMA = (
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, codec string, duration_s double, keyframes long"
+    "feature string, codec string, duration_s double, keyframes long, keyframe_ranges array<struct<start:long,end:long>>"
 )
 
 
 def media_features(df: DataFrame, key: str = "doc_id", text: str = "text", with_media: bool = False) -> DataFrame:
-    """One row per row of df: key, the columns of SCHEMA and, with_media, the container itself.
+    """One row per row of df: key, the columns of SCHEMA (keyframe_ranges in bytes of the container, end
+    exclusive) and, with_media, the container itself.
 
     Null texts count as empty; an empty text is stored as one unit of spaces. Other columns are ignored, and
-    repeated rows give repeated results. A container holds one text, so a task's memory is bounded by a batch
-    of texts.
+    repeated rows give repeated results; an empty table gives no rows. A container holds one text, so a task's
+    memory is bounded by a batch of texts.
     """
-    id_type = df.schema[key].dataType.simpleString()
+
+    def ranges_of(frames: list[np.ndarray]) -> pa.Array:
+        flat = np.concatenate(frames) if frames else np.zeros((0, 2), np.int64)
+        bounds = np.concatenate([[0], np.cumsum([len(f) for f in frames])])
+        pairs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k]), pa.int64()) for k in (0, 1)], names=["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, frames = [], []
             for v in b.column("data"):
                 raw = v.as_py() or b""
                 media = write_container(padded(raw))
                 track = read_track(media)
                 payload = read_payload(media, track)
+                frames.append(track.keyframes)
                 rows.append(
                     (
                         len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media),
@@ -209,11 +216,12 @@ def media_features(df: DataFrame, key: str = "doc_id", text: str = "text", with_
             cols = list(zip(*rows, strict=True)) or [()] * (10 + with_media)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=False)]
-            names = [x.split()[0] for x in SCHEMA.split(", ")] + ["media"] * with_media
-            yield pa.RecordBatch.from_arrays([b.column("key"), *arrays], names=[key, *names])
+            arrays.insert(10, ranges_of(frames))
+            yield pa.RecordBatch.from_arrays([b.column("key"), *arrays], names=[key, *(f.name for f in fields)])
 
-    src = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("data"))
-    return src.mapInArrow(run, f"`{key}` {id_type}, {SCHEMA}" + ", media binary" * with_media)
+    src = df.select(quoted(key).alias("key"), quoted(text).cast("binary").alias("data"))
+    fields = T.StructType.fromDDL(SCHEMA + ", media binary" * with_media).fields
+    return src.mapInArrow(run, T.StructType([T.StructField(key, src.schema["key"].dataType), *fields]))
 
 
 def query(spark, sf_dir):

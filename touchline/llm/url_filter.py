@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import UPPER, table
+from .common import UPPER, quoted, table
 
 #: (verdict, host, path); a rule holds for its host and all subdomains, for paths that start with its path.
 RULES = (
@@ -31,17 +32,13 @@ MAX_RULES = 5_000_000
 
 
 def split_url(df: DataFrame, url: str = "url") -> DataFrame:
-    """Adds host (A-Z lower-cased) and path; both are empty for null and for strings without ://."""
-    u = F.col(url)
-    rest = F.when(F.instr(u, "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)"))
-    after = F.expr("substring(rest_, char_length(raw_host_) + 1)")
-    return (
-        df.withColumn("rest_", F.coalesce(rest, F.lit("")))
-        .withColumn("raw_host_", F.regexp_extract("rest_", r"^[^/?#]*", 0))
-        .withColumn("host", F.translate("raw_host_", UPPER, UPPER.lower()))
-        .withColumn("path", F.regexp_extract(after, r"^[^?#]*", 0))
-        .drop("rest_", "raw_host_")
-    )
+    """Adds host (A-Z lower-cased) and path; both are empty for null and for strings without ://. All other
+    columns stay, whatever their names."""
+    u = quoted(url)
+    rest = F.coalesce(F.when(F.instr(u, "://") > 0, F.substring(u, F.instr(u, "://") + 3, F.length(u))), F.lit(""))
+    raw_host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    return df.withColumns({"host": F.translate(raw_host, UPPER, UPPER.lower()), "path": path})
 
 
 class DigestArray:
@@ -124,7 +121,9 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, url
 
     Of the rules that fit the longest (host and path together) wins; without one rule is null and verdict is
     `default`. A null or malformed URL has an empty host and path, so no rule. Columns of df named host,
-    path, rule or verdict are replaced; the others, repeated rows included, stay. At most MAX_RULES rules.
+    path, rule or verdict are replaced; the others, repeated rows included, stay. URLs of any length are judged
+    whole; of rules that tie in length the last by name wins; an empty table gives no rows. At most MAX_RULES
+    rules.
     """
     spark = df.sparkSession
     blob = spark.sparkContext.broadcast(DigestArray.build(rules))
@@ -138,8 +137,7 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, url
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "rule", "verdict"])
 
     split = split_url(df.drop("rule", "verdict"), url)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in split.schema)
-    return split.mapInArrow(run, f"{schema}, rule string, verdict string")
+    return split.mapInArrow(run, T.StructType([*split.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())]))
 
 
 def query(spark, sf_dir):
