@@ -133,7 +133,10 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], rows: i
 
     Ranges of about RANKED rows are summed by themselves; only a row for each range meets in one task.
     """
-    laid = df.repartitionByRange(max(1, -(-rows // RANKED)), *order).withColumn("range_", F.spark_partition_id())
+    if rows <= RANKED:
+        before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumns({k: F.coalesce(F.sum(v).over(before), F.lit(0)) for k, v in sums.items()})
+    laid = df.repartitionByRange(-(-rows // RANKED), *order).withColumn("range_", F.spark_partition_id())
     laid = written(laid.withColumns({f"{k}_own": v for k, v in sums.items()}), "mix-ranges")
     whole = laid.groupBy("range_").agg(*(F.sum(f"{k}_own").alias(f"{k}_all") for k in sums))
     earlier = W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)

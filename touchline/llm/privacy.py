@@ -1,9 +1,10 @@
 """Personal data: patterned entities and the terms that reveal them (built-in functions only).
 
 Emails, IP addresses, payment cards and phone numbers are found by pattern. A term is a run of letters outside of
-them. Over the whole corpus the share of the texts with a term that mention one protected entity estimates
-P(entity | term), and so how strongly the term gives the entity away. Terms above a threshold are generalised,
-above a higher one removed, wherever they stand in the texts that mention that entity.
+them. Texts of the whole corpus that hold both estimate how much of an entity's information a term gives away:
+their pointwise mutual information log P(entity | term) / P(entity), as a share of the entity's own information
+-log P(entity). Terms above a threshold are generalised to the class of their form, above a higher one removed,
+wherever they stand in the texts that mention that entity.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import quoted, table, written
 from .exact_dedup import probe
 from .mixing import let
 
@@ -32,8 +33,8 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 MASK = "\uffff"
 NO_TERM = r"\p{L}\x{FFFF}"
 TERM = rf"(?<![{NO_TERM}])\p{{L}}++(?!\x{{FFFF}})"
-#: A term needs so many texts that mention the entity, and P(entity | term) of at least these.
-SUPPORT, GENERALISE, REMOVE = 2, 0.5, 0.8
+#: A term needs so many texts that mention the entity, and to give away at least these shares of its information.
+SUPPORT, GENERALISE, REMOVE = 2, 0.75, 0.9
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
@@ -78,6 +79,19 @@ def mentions(text: Column, kind: str) -> Column:
     return F.when(hint, found).otherwise(F.array().cast(_SPANS))
 
 
+def _entity(kind: str, value: Column) -> Column:
+    """What mentions in different spellings have in common."""
+    if kind == "ip":
+        value = F.array_join(F.transform(F.split(value, r"\."), lambda x: F.regexp_replace(x, "^0+(?=.)", "")), ".")
+    elif kind in ("card", "phone"):
+        value = F.regexp_replace(value, "[^0-9]", "")
+    return F.concat(F.lit(f"{kind}:"), F.lower(value))
+
+
+def _entities(kind: str) -> Column:
+    return F.transform(kind, lambda x: _entity(kind, x["value"]))
+
+
 def masked(text: Column, base: Column) -> Column:
     """The text with MASK for each character of the base spans, and nowhere else."""
     text = F.translate(text, MASK, " ")
@@ -116,24 +130,26 @@ def count_of(spans: Column, kind: int) -> Column:
 
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key, row_no, base and added (arrays of kind, start, end in code points; kinds count
-    through KINDS and ADDED).
+    through KINDS and ADDED) and sanitised, the text without them.
 
     Null texts count as empty. Matches of different kinds may overlap; words that overlap any of them are not
-    terms. Repeated rows count each, in the statistics too. Other columns are ignored; an empty table gives no
-    rows.
+    terms. A text counts once for each of its terms and entities, repeated rows each. Texts and words of any
+    length are read whole. Other columns are ignored; an empty table gives no rows.
     """
-    src = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    src = docs.select(quoted(key).alias("key"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     found = src.select("key", "text", *(mentions(F.col("text"), k).alias(k) for k in KINDS))
     base = F.flatten(F.array(*(_of_kind(F.col(k), n) for n, k in enumerate(KINDS))))
-    entities = F.array_distinct(F.transform(F.flatten(F.array(*KINDS)), lambda x: F.lower(x["value"])))
+    entities = F.array_distinct(F.flatten(F.array(*(_entities(k) for k in KINDS))))
     rows = found.select("key", "text", F.monotonically_increasing_id().alias("row_no"), base.alias("base"), entities.alias("entities"))
     rows = written(rows.select("key", "row_no", "base", "entities", masked(F.col("text"), F.col("base")).alias("masked")), "privacy-base")
+    texts = F.lit(float(max(1, rows.count())))
 
     # Entities of a single text can't reach SUPPORT; a bounded bit filter leaves nearly all of them out early.
     holders = rows.filter(F.size("entities") > 0)
-    shared = holders.select(F.explode("entities").alias("digest")).groupBy("digest").count().filter(F.col("count") >= SUPPORT)
+    shared = holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("mentioned")).filter(F.col("mentioned") >= SUPPORT)
+    shared = written(shared, "privacy-shared")
     near = written(holders.select("row_no", "entities", _forms(F.col("masked")).alias("forms")), "privacy-words")
-    near = probe(near.select("row_no", F.explode("entities").alias("digest"), "forms"), written(shared.select("digest"), "privacy-shared")).filter("maybe")
+    near = probe(near.select("row_no", F.explode("entities").alias("digest"), "forms"), shared.select(F.col("entity").alias("digest"))).filter("maybe")
     near = near.select("row_no", F.col("digest").alias("entity"), "forms")
     # A text counts once for each of its entities and terms; partial counts meet, however common a pair is.
     pairs = near.select("entity", F.explode(_lowered(F.col("forms"))).alias("term"))
@@ -143,15 +159,18 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     top = together.groupBy("term").agg(F.max("together").alias("top"))
     words = rows.select(F.explode(_lowered(_forms(F.col("masked")))).alias("digest"))
     total = probe(words, top.select(F.col("term").alias("digest"))).filter("maybe").groupBy(F.col("digest").alias("term")).agg(F.count("*").alias("total"))
-    # Terms that no entity can claim go before the join, so that a common word's pairs don't meet in a task.
-    total = written(top.join(total, "term").filter(F.col("top") >= GENERALISE * F.col("total")).select("term", "total"), "privacy-totals")
-    share = F.col("together") / F.col("total")
+    # Terms that no entity can claim, however rare, go before the join: a common word's pairs don't meet in a task.
+    least = F.pow(F.lit(float(SUPPORT)) / texts, F.lit(1 - GENERALISE))
+    total = written(top.join(total, "term").filter(F.col("top") >= least * F.col("total")).select("term", "total"), "privacy-totals")
+    given_away = 1 + F.log(F.col("together") / F.col("total")) / F.log(texts / F.col("mentioned"))
     telling = (
         probe(together.withColumn("digest", F.col("term")), total.select(F.col("term").alias("digest")))
         .filter("maybe")
         .join(total, "term")
-        .filter(share >= GENERALISE)
-        .select("entity", "term", F.when(share >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS)).alias("kind"))
+        .join(shared, "entity")
+        # An entity of all texts has no information to give away.
+        .filter((F.col("mentioned") < texts) & (given_away >= GENERALISE))
+        .select("entity", "term", F.when(given_away >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS)).alias("kind"))
     )
     telling = written(telling, "privacy-telling")
     # A term of several entities of a text takes the strictest verdict.
@@ -161,28 +180,40 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     verdicts = asked.join(telling, ["entity", "term"]).groupBy("row_no", "form").agg(F.max("kind").alias("kind"))
     verdicts = written(verdicts.groupBy("row_no").agg(F.map_from_entries(F.collect_list(F.struct("form", "kind"))).alias("verdict")), "privacy-verdicts")
     pattern = F.concat(F.lit(f"(?<![{NO_TERM}])(?:"), F.array_join(F.map_keys("verdict"), "|"), F.lit(f")(?![{NO_TERM}])"))
-    texts = probe(rows.select("row_no", "masked", F.col("row_no").alias("digest")), verdicts.select(F.col("row_no").alias("digest"))).filter("maybe")
     places = F.transform(
         matches(F.col("masked"), pattern),
         lambda x: F.struct(F.element_at("verdict", x["value"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")),
     )
-    added = texts.select("row_no", "masked").join(verdicts, "row_no").select("row_no", places.alias("added"))
+    # Only texts that may have a verdict are shuffled to it.
+    flagged = probe(rows.select("key", "row_no", "base", "masked", F.col("row_no").alias("digest")), verdicts.select(F.col("row_no").alias("digest"))).drop("digest")
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return rows.select("key", "row_no", "base").join(added, "row_no", "left").select(F.col("key").alias(key), "row_no", "base", F.coalesce("added", none).alias("added"))
+    judged = flagged.filter("maybe").join(verdicts, "row_no", "left").withColumn("added", F.when(F.col("verdict").isNull(), none).otherwise(places))
+    every = judged.drop("verdict").unionByName(flagged.filter("not maybe").withColumn("added", none))
+    return every.select(F.col("key").alias(key), "row_no", "base", "added", sanitised(F.col("masked"), F.col("base"), F.col("added")).alias("sanitised"))
+
+
+def _class_of(term: Column) -> Column:
+    """What a generalised term is replaced by: the class of its form."""
+    capital = F.substring(term, 1, 1)
+    named = (capital == F.upper(capital)) & (capital != F.lower(capital))
+    return F.when(named & (F.length(term) > 1) & (term == F.upper(term)), F.lit("<ACRONYM>")).when(named, F.lit("<NAME>")).otherwise(F.lit("<WORD>"))
 
 
 def sanitised(text: Column, base: Column, added: Column) -> Column:
-    """The text with <EMAIL> and the like for base spans, <WORD> for generalised terms, and without removed ones.
-    Of spans that overlap the first is replaced, the longest of those that start together."""
-    marks = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS), F.lit("<WORD>"), F.lit(""))
+    """The text with <EMAIL> and the like for base spans, the class of its form (<NAME>, <ACRONYM> or <WORD>) for
+    generalised terms, and without removed ones. Of spans that overlap the first is replaced, the longest of those
+    that start together."""
+    marks = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS), F.lit(None).cast("string"), F.lit(""))
     spans = F.array_sort(F.transform(F.concat(base, added), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def put(a: Column, x: Column) -> Column:
-        kept = F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.get(marks, x["kind"]))
+        mark = F.coalesce(F.get(marks, x["kind"]), _class_of(F.substring(text, x["start"] + 1, -x["back"] - x["start"])))
+        kept = F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), mark)
         return F.when(x["start"] < a["at"], a).otherwise(F.struct((-x["back"]).alias("at"), kept.alias("out")))
 
-    return let(F.aggregate(spans, start, put), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    filled = let(F.aggregate(spans, start, put), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.when(F.size(base) + F.size(added) > 0, filled).otherwise(text)
 
 
 def query(spark, sf_dir):
@@ -192,4 +223,5 @@ def query(spark, sf_dir):
         *(count_of(F.col("base"), n).alias(f"n_{k}") for n, k in enumerate(KINDS)),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", "added")).alias("spans"),
+        F.sha2("sanitised", 256).alias("sanitised_sha256"),
     )
