@@ -1,7 +1,10 @@
 """A corpus pipeline: toxicity filter, exact and near deduplication, source mixing, segmentation.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns the rows that go on, each of
-whose results is written as Parquet and read again as the next one's docs.
+whose results is written as Parquet and read again as the next one's docs. Rows with null or empty texts pass the
+toxicity filter, are copies of each other, and are linked with nothing; null sources are mixed as a source; repeated
+rows are copies; empty tables give empty results; extra columns are dropped at the first stage. Texts of any length
+are read whole.
 """
 
 from __future__ import annotations
@@ -35,8 +38,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with each text's sampled piece ids and whether they decode to it."""
-    coded = segmentation.decode(segmentation.encode(docs.select(*COLUMNS)))
+    """The columns of documents with each text's sampled piece ids and whether they decode to it. Null and empty
+    texts have no pieces."""
+    coded = segmentation.encode(docs.select(*COLUMNS), decoded="decoded")
     return coded.withColumn("lossless", coded["decoded"].eqNullSafe(coded["text"]) | coded["text"].isNull()).drop("decoded")
 
 
