@@ -9,8 +9,10 @@ tell a quotation from an abuse. A logistic function of a text's weights and leng
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -18,15 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import doc_fold, table, unit_hash, written
+from .common import doc_fold, free_name, quoted, table, unit_hash, written
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Letters with digits and signs between them; one token if none of its TOKENs stands for a term.
-JOINED = re.compile(r"[^\W\d_]+(?:(?:[^\w\s]|[\d_])+[^\W\d_]+)+")
+JOINED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:(?:[^\w\s]|[\d_])++[^\W\d_]++)++")
 FOLDS, HELD_OUT = 5, 0
-#: Bounds on the rows to learn from, and on the lexicon.
-SAMPLE_TOXIC, SAMPLE_CLEAN, LEXICON = 6000, 12000, 4000
+#: Bounds on the rows to learn from. They bound the lexicon too: a term needs SUPPORT of them.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
 #: A term needs so many toxic rows, and a log ratio of its frequencies in toxic and clean rows that is above
 #: MARGIN by Z standard errors.
 SUPPORT, MARGIN, Z = 6, math.log(2), 4.0
@@ -42,8 +45,6 @@ LOOSE, MARKED = 10, 11
 SEED = 5
 #: What a misspelling that the sample doesn't hold weighs, as a share of its term's weight.
 UNSEEN = 0.7
-#: Occurrences of a term that count.
-MOST = 5.0
 #: Tokens on either side of a match that decide on its context.
 SPAN = 6
 # Words that report speech, and words that address someone.
@@ -51,8 +52,8 @@ REPORTING = frozenset("said says wrote writes quoted quote called calls dit écr
 ADDRESSING = frozenset("you your du dich dein tu te toi vous eres usted".split())
 QUOTES = "\"“”„«»‹›"
 QUOTED, REPORTED, ADDRESSED = 0.4, 0.7, 1.2
-#: DFA states kept; beyond it they are built anew, with the same results.
-STATES = 200_000
+#: DFA states, and tokens with their matches, that are kept; beyond it they are built anew, with the same results.
+STATES, STATE_BYTES, TOKENS = 40_000, 1 << 24, 100_000
 
 
 def edits_for(term: str, stem: bool, edits: tuple[tuple[int, int], ...] = EDITS) -> int:
@@ -84,19 +85,22 @@ class LexiconAutomaton:
         self.clear()
 
     def clear(self) -> None:
-        # By state: its pairs, the best stem met on the way, its moves.
+        # By state: its pairs (node * 8 + edits, packed), the best stem met on the way, its moves.
         self.ids: dict[tuple, int] = {}
-        self.states: list[tuple[frozenset, tuple | None]] = []
+        self.states: list[tuple[bytes, tuple | None]] = []
         self.moves: list[dict[str, int]] = []
-        self.start = self._state(frozenset(self._closed({0: 0}).items() if self.first else {(0, 0)}), None)
+        self.size = 0
+        self.start = self._state(self._closed({0: 0}) if self.first else {0: 0}, None)
 
-    def _state(self, pairs: frozenset, stem: tuple | None) -> int:
-        key = (pairs, stem)
+    def _state(self, pairs: dict[int, int], stem: tuple | None) -> int:
+        packed = array("I", sorted(node << 3 | e for node, e in pairs.items())).tobytes()
+        key = (packed, stem)
         got = self.ids.get(key)
         if got is None:
             got = self.ids[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
+            self.size += len(packed)
         return got
 
     def _closed(self, pairs: dict[int, int]) -> dict[int, int]:
@@ -113,44 +117,47 @@ class LexiconAutomaton:
         return pairs
 
     def step(self, state: int, c: str) -> int:
-        pairs, stem = self.states[state]
+        packed, stem = self.states[state]
         out: dict[int, int] = {}
+        reach, children, get = self.reach, self.children, out.get
 
-        def add(node: int, e: int) -> None:
-            if e <= self.reach[node] and out.get(node, 99) > e:
-                out[node] = e
-
-        for node, e in pairs:
-            child = self.children[node].get(c)
-            if child is not None:
-                add(child, e) if e else out.__setitem__(child, 0)
+        for code in array("I", packed):
+            node, e = code >> 3, code & 7
+            child = children[node].get(c)
+            if child is not None and get(child, 99) > e and e <= reach[child]:
+                out[child] = e
             if node or self.first:  # otherwise the first letter has to be right
-                add(node, e + 1)
-                for other in self.children[node].values():
-                    add(other, e + 1)
-        at_root = state == self.start
-        out = out if at_root and not out else self._closed(out)
+                e += 1
+                if e <= reach[node] and get(node, 99) > e:
+                    out[node] = e
+                for other in children[node].values():
+                    if e <= reach[other] and get(other, 99) > e:
+                        out[other] = e
+        out = out if state == self.start and not out else self._closed(out)
         for node, e in out.items():
             if e == 0:
                 for term, is_stem in self.ends[node]:
                     if is_stem and (stem is None or len(term) > len(stem[0])):
                         stem = (term, 0)
-        got = self.moves[state][c] = self._state(frozenset(out.items()), stem)
+        got = self.moves[state][c] = self._state(out, stem)
         return got
 
     def match(self, token: str) -> tuple[str, int] | None:
         """The term that the token stands for, and its distance; the nearest, then the longest, wins."""
-        if len(self.states) > STATES:
+        if len(self.states) > STATES or self.size > STATE_BYTES:
             self.clear()
-        state, moves = self.start, self.moves
+        state, moves, states = self.start, self.moves, self.states
         for c in token:
             nxt = moves[state].get(c)
             state = self.step(state, c) if nxt is None else nxt
-            pairs, stem = self.states[state]
-            if not pairs:
+            packed, stem = states[state]
+            if not packed:
                 return stem
-        pairs, stem = self.states[state]
-        found = [(e, -len(t), t) for node, e in pairs for t, is_stem in self.ends[node] if not is_stem and e <= edits_for(t, False, self.edits)]
+        packed, stem = states[state]
+        found = []
+        for code in array("I", packed):
+            node, e = code >> 3, code & 7
+            found += [(e, -len(t), t) for t, is_stem in self.ends[node] if not is_stem and e <= edits_for(t, False, self.edits)]
         if stem is not None:
             found.append((0, -len(stem[0]), stem[0]))
         if not found:
@@ -171,6 +178,11 @@ class Lexicon:
     #: logistic coefficients of features(); none without labels
     coef: np.ndarray | None = None
 
+    @property
+    def digest(self) -> str:
+        parts = sorted(self.terms), sorted(self.weights.items()), sorted(self.words.items()), sorted(self.supported.items(), key=repr)
+        return hashlib.sha256(repr((*parts, None if self.coef is None else self.coef.tolist())).encode()).hexdigest()
+
     def weight(self, term: str, e: int) -> float:
         w = self.weights.get((term, e))
         return max(0.0, UNSEEN * self.weights.get((term, 0), 0.0) if w is None else w)
@@ -213,7 +225,7 @@ class Scorer:
 
     def hits(self, tokens: set[str]) -> dict[str, tuple[str, int]]:
         seen, match = self.seen, self.match
-        if len(seen) > 500_000:
+        if len(seen) > TOKENS:
             seen.clear()
         out = {}
         for t in tokens:
@@ -240,11 +252,14 @@ class Scorer:
         spans = sorted([*taken, *(m.span() for m in TOKEN.finditer(low) if m.start() not in inside)])
         return [low[a:b] for a, b in spans], spans, hits | more
 
-    def context(self, text: str, spans: list[tuple[int, int]], k: int, tokens: list[str]) -> tuple[float, bool]:
-        """The factor for the match at token k, and whether it stands in quotation marks."""
+    def context(self, text: str, spans: list[tuple[int, int]] | None, k: int, tokens: list[str]) -> tuple[float, bool]:
+        """The factor for the match at token k, and whether it stands in quotation marks. spans: the tokens' places
+        in the text, None if it has no quotation marks."""
         lo, hi = max(0, k - SPAN), min(len(tokens), k + SPAN + 1)
-        before, after = text[spans[lo][0] : spans[k][0]], text[spans[k][1] : spans[hi - 1][1] + 1]
-        quoted = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
+        quoted = False
+        if spans is not None:
+            before, after = text[spans[lo][0] : spans[k][0]], text[spans[k][1] : spans[hi - 1][1] + 1]
+            quoted = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
         around = {*tokens[lo:k], *tokens[k + 1 : hi]}
         factor = QUOTED if quoted else 1.0
         if around & REPORTING:
@@ -259,15 +274,15 @@ class Scorer:
         words, spans, hits = self.read(low)
         total = top = 0.0
         if hits:
-            spans = spans or [m.span() for m in TOKEN.finditer(low)]
+            if spans is None and any(q in low for q in QUOTES):
+                spans = [m.span() for m in TOKEN.finditer(low)]
             met: dict[tuple[str, int], float] = {}
-            for k, t in enumerate(words):
-                if t in hits:
-                    factor, _ = self.context(low, spans, k, words)
-                    met[hits[t]] = met.get(hits[t], 0.0) + factor
+            for k in [k for k, t in enumerate(words) if t in hits]:
+                factor, _ = self.context(low, spans, k, words)
+                met[hits[words[k]]] = met.get(hits[words[k]], 0.0) + factor
             for (term, e), n in met.items():
                 w = self.lexicon.weight(term, e)
-                total += w * min(n, MOST)
+                total += w * (n if n <= 1 else 1 + math.log(n))  # each further occurrence adds less
                 top = max(top, w * min(n, 1.0))
         return [1.0, math.log1p(total), math.log1p(100 * total / (len(words) + 20)), top, math.log1p(len(words))]
 
@@ -301,15 +316,17 @@ def choose_terms(rows: list[tuple[str, str, int, int, int, float]]) -> list[tupl
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text, toxic) of a bounded sample of labelled rows outside the held-out fold, as a written table."""
-    known = labels.filter(F.col("toxic").isNotNull() & (doc_fold(F.col(key), FOLDS) != HELD_OUT))
-    known = known.groupBy(F.col(key).alias("id")).agg((F.max("toxic") == 1).alias("toxic"))
-    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    bound = F.when(F.col("toxic"), SAMPLE_TOXIC / max(1, n.get(True, 0))).otherwise(SAMPLE_CLEAN / max(1, n.get(False, 0)))
-    # About SAMPLE_TOXIC + SAMPLE_CLEAN narrow rows, whatever the number of labels.
-    picked = known.filter(unit_hash(F.lit(SEED), F.col("id")) < bound).limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN))
-    got = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
-    return written(got, "toxicity-sample")
+    """(id, text, toxic) of a bounded sample of labelled keys outside the held-out fold, as a written table.
+
+    The keys with the least hashes are taken, SAMPLE_TOXIC of toxic ones and SAMPLE_CLEAN of others at most. A
+    key is toxic if any of its labels says so; of several texts of a key the least counts, whatever the order.
+    """
+    known = labels.filter(F.col("toxic").isNotNull() & (doc_fold(quoted(key), FOLDS) != HELD_OUT))
+    known = known.groupBy(quoted(key).alias("id")).agg((F.max("toxic") == 1).alias("toxic"))
+    order = unit_hash(F.lit(SEED), F.col("id"))
+    picked = [known.filter(F.col("toxic") == F.lit(which)).orderBy(order, "id").limit(most) for which, most in ((True, SAMPLE_TOXIC), (False, SAMPLE_CLEAN))]
+    got = docs.select(quoted(key).alias("id"), quoted(text).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "id")
+    return written(got.groupBy("id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
@@ -318,7 +335,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     toxic, clean = n.get(True, 0), n.get(False, 0)
     if not toxic:
         return Lexicon([])
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,24})"), F.lit(1)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)))
     by_word = (
         sample.select("toxic", F.explode(words).alias("term"))
         .groupBy("term")
@@ -336,7 +353,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     ratio = F.log((F.col("t") + 0.5) / toxic) - F.log((F.col("c") + 0.5) / max(1, clean))
     error = F.sqrt(1 / (F.col("t") + 1) + 1 / (F.col("c") + 1))
     good = all_terms.withColumn("ratio", ratio).filter((F.col("t") >= SUPPORT) & (F.col("ratio") - Z * error >= MARGIN))
-    rows = good.orderBy(F.desc("t"), "kind", "term").limit(LEXICON).collect()
+    rows = good.collect()
     lexicon = Lexicon(choose_terms([(r["kind"], r["term"], r["t"], r["many"], r["top"], r["ratio"]) for r in rows]))
     # The words of the bounded sample that stand above a stem and are more frequent in toxic rows: misspelt
     # inside the stem, they count for it.
@@ -367,7 +384,7 @@ def _weighed(sample: DataFrame, lexicon: Lexicon, toxic: int, clean: int) -> Lex
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(es, pa.int32()), pa.array(marks, pa.bool_())], names=["term", "e", "toxic"])
 
     met = sample.select("text", "toxic").mapInArrow(run, "term string, e int, toxic boolean")
-    # A row for each of at most LEXICON terms and five distances.
+    # A row for each term of the lexicon and five distances.
     pooled: dict[int, tuple[int, int]] = {}
     for r in met.groupBy("term", "e").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")).collect():
         lexicon.weights[(r["term"], r["e"])] = _ratio(r["t"], r["c"], toxic, clean)
@@ -419,31 +436,42 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40)
     return w
 
 
+#: The scorer of this worker process, by its lexicon: tasks that follow find its automata.
+_READY: dict[str, Scorer] = {}
+
+
 def score_texts(df: DataFrame, lexicon: Lexicon, text: str = "text", to: str = "score") -> DataFrame:
     """df with column `to`, the toxicity of text between 0 and 1.
 
-    Null and empty texts are scored like texts of no words; a lexicon without labels scores 0.01 throughout. An existing column `to`
-    is replaced; all other columns and repeated rows stay. The lexicon has a bounded size and is broadcast.
+    Null and empty texts are scored like texts of no words; a lexicon without labels scores 0.01 throughout. An
+    existing column `to` is replaced; all other columns, whatever their names, and repeated rows stay. Texts are
+    read whole, one at a time, however long. The lexicon has a bounded size and is broadcast.
     """
     held = df.sparkSession.sparkContext.broadcast(lexicon)
-    kept: dict[str, Scorer] = {}
+    name = lexicon.digest
     df = df.drop(to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = kept.setdefault("scorer", Scorer(held.value))
+        if name not in _READY:
+            _READY.clear()
+            _READY[name] = Scorer(held.value)
+        scorer = _READY[name]
         for b in batches:
             scores = [scorer.score(v.as_py() or "") for v in b.column(text)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, to])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, `{to}` double")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is under the threshold, with their columns."""
+    """The rows of docs whose score is under the threshold, with their columns.
+
+    Rows with null or empty texts stay, as do all rows where there are no labels to learn from; repeated rows
+    stay or go together. An empty table gives no rows.
+    """
     lexicon = learn_lexicon(labelled_sample(docs, labels, key, text))
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
-    return score_texts(held, lexicon).filter(F.col("score") < threshold).select("row.*")
+    score = free_name(docs, "toxicity")
+    return score_texts(docs, lexicon, text, score).filter(F.col(score) < threshold).drop(score)
 
 
 def query(spark, sf_dir):
