@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import arrow_rows, table, written
 from .exact_dedup import probe
 from .graph import components, hinted
 from .shingles import SetSketch, set_id, shingle_sets
@@ -34,6 +34,10 @@ ROUNDS = 2
 SMALL_BUCKET = 24
 #: Members that may share a hash before it counts as hot.
 HOT = 256
+#: About so many members of a bucket meet in a task where a bucket is joined with what belongs to it.
+DEAL = 256
+#: Rows of an Arrow batch of texts, and of pairs with both sets.
+TEXT_ROWS, PAIR_ROWS = 2000, 1000
 #: Bytes of text that are shingled at a time.
 BATCH_BYTES = 1 << 21
 
@@ -125,6 +129,16 @@ def _linked(pairs: DataFrame, rows: int, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "hashes_a", "hashes_b").mapInArrow(compared, "a binary, b binary")
 
 
+def _deals(members: Column) -> Column:
+    """Into how many parts a bucket of so many members is dealt."""
+    return F.ceil(members / DEAL).cast("int")
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """df, a row for each bucket (with members), once for each part: so a hot bucket's join is split."""
+    return df.withColumn("deal", F.explode(F.sequence(F.lit(0), _deals(F.col("members")) - 1))).drop("members")
+
+
 def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of members of one bucket (bucket, set_id, label) that have different labels and can be linked.
 
@@ -172,7 +186,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     null key are not linked: component_id is null and kept false. Repeated rows get the same result, and are
     all kept or all dropped. Other columns are ignored.
     """
-    base = written(sketched(docs, key, text), "near-base")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        base = written(sketched(docs, key, text), "near-base")
     classes = written(
         base.filter("n > 0 AND key IS NOT NULL").groupBy("set_id").agg(
             F.min("key").alias("rep"), *(F.first(c).alias(c) for c in ("n", "regs", "bands"))
@@ -181,9 +196,11 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     each = classes.select("set_id", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count("*").alias("members"), F.min("set_id").alias("pivot")).filter("members > 1")
-    members = written(each.join(shared, "bucket"), "near-members")
+    part = F.pmod(F.xxhash64("set_id"), _deals(F.col("members"))).cast("int")
+    members = written(each.join(shared, "bucket").withColumn("deal", part), "near-members")
     wanted = classes.select("set_id", "rep", "n", "regs").join(members.select("set_id"), "set_id", "left_semi")
-    sets = written(_sets(docs, key, text, written(wanted, "near-wanted")), "near-sets")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        sets = written(_sets(docs, key, text, written(wanted, "near-wanted")), "near-sets")
 
     labels: DataFrame | None = None
     labelled = 0
@@ -198,7 +215,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if not rows:
             return False
         done = pairs if done is None else done.unionByName(pairs)
-        found = written(_linked(pairs, rows, sets), "near-links")
+        with arrow_rows(docs.sparkSession, PAIR_ROWS):
+            found = written(_linked(pairs, rows, sets), "near-links")
         if labels is None:
             labels = components(found)
         elif not found.isEmpty():
@@ -216,18 +234,19 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def apart(df: DataFrame) -> DataFrame:
         """Members with their labels, in buckets that hold several labels."""
         known = df.join(hinted(labels.withColumnRenamed("node", "set_id"), labelled), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-        mixed = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
-        return written(known.join(mixed, "bucket").select("bucket", "members", "set_id", "label"), "near-apart")
+        mixed = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("members").alias("members"))
+        mixed = _dealt(mixed.filter("lo != hi").select("bucket", "members"))
+        return written(known.join(mixed, ["bucket", "deal"]).select("bucket", "deal", "members", "set_id", "label"), "near-apart")
 
     if link(members.filter("set_id != pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))):
         # Buckets of two members are settled by their pivot.
-        rest = apart(members.filter("members > 2").select("bucket", "members", "set_id"))
+        rest = apart(members.filter("members > 2").select("bucket", "deal", "members", "set_id"))
         for k in range(1, ROUNDS):
-            pivots = rest.groupBy("bucket").agg(F.min_by(F.struct("set_id", "label"), F.xxhash64(F.lit(k), "set_id")).alias("p"))
-            pairs = rest.join(pivots, "bucket").filter("label != p.label").select(F.col("set_id").alias("a"), F.col("p.set_id").alias("b"))
+            pivots = rest.groupBy("bucket").agg(F.min_by(F.struct("set_id", "label"), F.xxhash64(F.lit(k), "set_id")).alias("p"), F.first("members").alias("members"))
+            pairs = rest.join(_dealt(pivots), ["bucket", "deal"]).filter("label != p.label").select(F.col("set_id").alias("a"), F.col("p.set_id").alias("b"))
             if not link(pairs):
                 break
-            rest = apart(rest.select("bucket", "members", "set_id"))
+            rest = apart(rest.select("bucket", "deal", "members", "set_id"))
         small = rest.filter(F.col("members") <= SMALL_BUCKET)
         left = small.select("bucket", F.col("set_id").alias("a"), F.col("label").alias("la"))
         right = small.select("bucket", F.col("set_id").alias("b"), F.col("label").alias("lb"))
