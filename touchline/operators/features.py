@@ -95,7 +95,8 @@ def team_features(players: DataFrame, states: DataFrame, attack_dir: DataFrame,
     """One row per grid point and team: shape, pressure, derivatives, possession, ball in the team's direction of
     attack, and the frame's quality."""
     frame = [*K, "i"]
-    both = states.join(F.broadcast(attack_dir), ["match_id", "period"])
+    # A few rows for each match: a join on the match, which Spark broadcasts only while it is small.
+    both = states.join(attack_dir, ["match_id", "period"])
     half = PITCH_LENGTH_M / 2
     both = both.withColumns({
         "ball_x_rel": F.col("dir") * F.col("ball_x") + half, "ball_y_rel": F.col("dir") * F.col("ball_y"), "ball_vx_rel": F.col("dir") * F.col("ball_vx"), "ball_valid": F.col("ball_x").isNotNull() & F.col("ball_y").isNotNull(),
@@ -125,6 +126,7 @@ def team_features(players: DataFrame, states: DataFrame, attack_dir: DataFrame,
 def features(frames: DataFrame, player_obs: DataFrame, ball_obs: DataFrame, attack_dir: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:  # noqa: B008
     """All features as a written table. Each stage is read by several later ones, so it is written once: the
     resampled tracks, the possession states, and the features that the detectors share."""
+    check_directions(frames, attack_dir)
     players, ball = resampled(frames, player_obs, ball_obs, cfg)
     players = written(players, "players")
     states = written(possession_states(players, ball, cfg), "states")

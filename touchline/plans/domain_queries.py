@@ -124,11 +124,8 @@ SELECT frame, state, round(min(CASE WHEN team <> state THEN dist END), 6) AS nea
 
 # --- detector evaluation: every order is a labelled frame, its lines are candidates -------------------------
 
-def labels_and_candidates(spark, d, only=None):
-    """The labels and candidates of all orders; of those that meet the condition `only` if there is one."""
-    o = table(spark, d, "orders")
-    o = o if only is None else o.filter(only)
-    labels = o.select(
+def labels_and_candidates(spark, d):
+    labels = table(spark, d, "orders").select(
         F.pmod("o_custkey", F.lit(5)).alias("clip"), F.col("o_orderkey").alias("index"), (F.pmod("o_orderkey", F.lit(3)) != 0).alias("visible"),
         F.pmod("o_custkey", F.lit(50)).cast("double").alias("x"), F.pmod("o_orderkey", F.lit(61)).cast("double").alias("y"),
     )
@@ -138,21 +135,15 @@ def labels_and_candidates(spark, d, only=None):
 
 
 EVAL_CTE = """WITH lb AS (
-  SELECT o_custkey % 5 AS clip, o_orderkey AS index, o_orderkey % 3 <> 0 AS visible, CAST(o_custkey % 50 AS DOUBLE) AS x, CAST(o_orderkey % 61 AS DOUBLE) AS y FROM orders WHERE o_orderkey % 8 = 0
+  SELECT o_custkey % 5 AS clip, o_orderkey AS index, o_orderkey % 3 <> 0 AS visible, CAST(o_custkey % 50 AS DOUBLE) AS x, CAST(o_orderkey % 61 AS DOUBLE) AS y FROM orders
 ), ca AS (
   SELECT clip, index, l_linenumber * 10000000::BIGINT + l_partkey AS pos, round(CAST(l_discount AS DOUBLE) * 10, 3) AS conf, CAST(l_quantity AS DOUBLE) AS dx, CAST(l_partkey % 61 AS DOUBLE) AS dy FROM lineitem JOIN lb ON l_orderkey = index
 ), fl(floor) AS (VALUES (0.05::DOUBLE), (0.3::DOUBLE), (0.6::DOUBLE))"""
-#: EVAL_CTE is fixed and holds one order in eight; the queries that are named _whole have all orders.
-EIGHTH = "o_orderkey % 8 = 0"
-
-
-def whole(sql: str) -> str:
-    return sql.replace(f" WHERE {EIGHTH}", "")
 
 
-def _evaluated(selection, only=None):
+def _evaluated(selection):
     def query(spark, d):
-        labels, cands = labels_and_candidates(spark, d, only)
+        labels, cands = labels_and_candidates(spark, d)
         floors = spark.createDataFrame([(0.05,), (0.3,), (0.6,)], "floor double")
         e = evaluation.evaluate(labels, cands, floors, ["clip"], ["index"], 15.0, selection)
         rounded = ("precision", "recall", "f1", "absent_fp_rate", "absent_candidates", "mean_error", "median_error", "p90_error")
@@ -178,12 +169,9 @@ SELECT clip, floor, n_labelled, n_visible, n_absent, tp, fp, fn, tn, round(p, 6)
 """
 
 
-def _raw_recall(only=None):
-    def query(spark, d):
-        labels, cands = labels_and_candidates(spark, d, only)
-        return evaluation.raw_recall(labels, cands, ["clip", "index"], ["clip"], 15.0).select("clip", "n", "n_hit", r("recall").alias("recall"))
-
-    return query
+def q_raw_recall(spark, d):
+    labels, cands = labels_and_candidates(spark, d)
+    return evaluation.raw_recall(labels, cands, ["clip", "index"], ["clip"], 15.0).select("clip", "n", "n_hit", r("recall").alias("recall"))
 
 
 RAW_RECALL = EVAL_CTE + """, b AS (SELECT lb.clip, lb.index, min(sqrt((dx - x) * (dx - x) + (dy - y) * (dy - y))) AS d FROM lb LEFT JOIN ca ON ca.index = lb.index WHERE visible GROUP BY ALL)
@@ -425,16 +413,14 @@ BINS = """SELECT p_brand, CASE WHEN p_size < 10 THEN '0-10' WHEN p_size < 20 THE
 
 QUERIES = {
     "lineitem_team_shape": q_shape, "lineitem_hull_area": q_hull, "lineitem_nearest_player": q_nearest, "lineitem_raw_possession": q_reads, "lineitem_pressure": q_pressure,
-    "orders_detection_sweep": _evaluated("best", EIGHTH), "orders_detection_any": _evaluated("any", EIGHTH), "orders_raw_recall": _raw_recall(EIGHTH),
-    "orders_detection_sweep_whole": _evaluated("best"), "orders_detection_any_whole": _evaluated("any"), "orders_raw_recall_whole": _raw_recall(),
+    **{f"orders_detection_sweep{x}": _evaluated("best") for x in ("", "_whole")}, **{f"orders_detection_any{x}": _evaluated("any") for x in ("", "_whole")}, **{f"orders_raw_recall{x}": q_raw_recall for x in ("", "_whole")},
     "embeddings_shot_boundaries": q_boundaries, "embeddings_shot_report": q_shot_report,
     "orders_pattern_profile": q_profile, "orders_breakdowns": q_breakdowns, "orders_phase_counts": q_phases, "nation_scouting": q_scouting, "nation_priors": q_priors, "nation_recommendations": q_recommend,
     "orders_quantile": q_quantile, "part_zones": q_zones, "part_distance_bins": q_bins,
 }
 ORACLE_SQL = {
     "lineitem_team_shape": SHAPE, "lineitem_hull_area": HULL, "lineitem_nearest_player": NEAREST, "lineitem_raw_possession": READS, "lineitem_pressure": PRESSURE,
-    "orders_detection_sweep": _eval_sql("WHERE k = 1"), "orders_detection_any": _eval_sql(""), "orders_raw_recall": RAW_RECALL,
-    "orders_detection_sweep_whole": whole(_eval_sql("WHERE k = 1")), "orders_detection_any_whole": whole(_eval_sql("")), "orders_raw_recall_whole": whole(RAW_RECALL),
+    **{f"orders_detection_sweep{x}": _eval_sql("WHERE k = 1") for x in ("", "_whole")}, **{f"orders_detection_any{x}": _eval_sql("") for x in ("", "_whole")}, **{f"orders_raw_recall{x}": RAW_RECALL for x in ("", "_whole")},
     "embeddings_shot_boundaries": BOUNDARIES, "embeddings_shot_report": SHOT_REPORT,
     "orders_pattern_profile": PROFILE, "orders_breakdowns": BREAKDOWNS, "orders_phase_counts": PHASES, "nation_scouting": SCOUTING, "nation_priors": PRIORS, "nation_recommendations": RECOMMEND,
     "orders_quantile": QUANTILE, "part_zones": ZONES, "part_distance_bins": BINS,
