@@ -101,9 +101,14 @@ SELECT user_id, round(start_t, 6) AS start_t, round(end_t, 6) AS end_t, n_rows,
 """
 
 
-def q_possession(spark, d):
+def possession_reads(spark, d):
+    """The events with raw, what a read of the ball could say."""
     reads = F.when(F.col("event_type") == "click", "home").when(F.col("event_type") == "view", "away").when(F.col("event_type") == "signup", "contested").when(F.col("event_type") == "error", "dead")
-    p = ts.possession(event_series(spark, d).withColumn("raw", reads), K, "t", "raw", 12 * H)
+    return event_series(spark, d).withColumn("raw", reads)
+
+
+def q_possession(spark, d):
+    p = ts.possession(possession_reads(spark, d), K, "t", "raw", 12 * H)
     return p.select("event_id", "state", "flip", r("since_flip", 3).alias("since_flip"))
 
 
