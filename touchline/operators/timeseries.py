@@ -268,6 +268,8 @@ def possession(df: DataFrame, keys: Keys, t: str, read: str, persistence: float)
     """
     w = ordered(keys, t)
     clear = F.col(read).isin("home", "away")
+    # A row's place: rows of one time are told apart by it.
+    df = df.withColumn("rn_", F.row_number().over(ordered(keys, [t, read])))
     held = df.withColumn("block_", F.sum((F.col(read) == "dead").cast("int")).over(_sofar(w)))
     held = held.withColumn("block_", F.coalesce("block_", F.lit(0)))
     in_block = W.partitionBy(*keys, "block_").orderBy(t)
@@ -280,8 +282,8 @@ def possession(df: DataFrame, keys: Keys, t: str, read: str, persistence: float)
     runs = reads.withColumn("confirm_", confirm).withColumn("k_", F.row_number().over(of_run)).filter("k_ = 1")
     counted = runs.filter((F.col("run_") == 1) | F.col("confirm_").isNotNull())
     counted = counted.withColumn("flip_", F.coalesce(F.col(read) != F.lag(read).over(in_block), F.lit(False)))
-    marks = counted.select(*keys, t, F.struct(F.col(t).alias("t0"), F.col("confirm_").alias("confirm"), F.col(read).alias("side"), F.col("flip_").alias("flip"), F.col("block_").alias("block")).alias("m_"))
-    out = held.join(marks, [*keys, t], "left")
+    marks = counted.select(*keys, "rn_", F.struct(F.col(t).alias("t0"), F.col("confirm_").alias("confirm"), F.col(read).alias("side"), F.col("flip_").alias("flip"), F.col("block_").alias("block")).alias("m_"))
+    out = held.join(marks, [*keys, "rn_"], "left")
     now = F.last("m_", ignorenulls=True).over(_sofar(in_block))
     out = out.withColumn("now_", now).withColumn("flip", F.coalesce(F.col("m_.flip"), F.lit(False)))
     last_flip = F.last(F.when(F.col("flip"), F.col(t)), ignorenulls=True).over(_sofar(w))
@@ -293,4 +295,4 @@ def possession(df: DataFrame, keys: Keys, t: str, read: str, persistence: float)
     )
     out = out.withColumn("state", state).withColumn("last_flip_", last_flip)
     quiet = (F.col("state") == "dead") | ((F.coalesce(F.col(read), F.lit("")) != "contested") & F.col("now_").isNull())
-    return out.withColumn("since_flip", F.when(~quiet, F.col(t) - F.col("last_flip_"))).drop("block_", "m_", "now_", "last_flip_")
+    return out.withColumn("since_flip", F.when(~quiet, F.col(t) - F.col("last_flip_"))).drop("block_", "m_", "now_", "last_flip_", "rn_")

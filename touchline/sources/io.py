@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators.scouting import RULE_SCHEMA
@@ -50,14 +50,24 @@ def candidates(probe: DataFrame, floor: float = 0.0) -> DataFrame:
     return rows.select("index", "frame", "imgsz", "pos", conf.alias("conf"), ((left + right) / 2).alias("u"), bottom.alias("v"), ((left + right) / 2).alias("x"), ((top + bottom) / 2).alias("y")).filter(F.col("conf") >= floor)
 
 
-def read_homographies(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, h): the frame's number, or where no frame is a number the exported line number. A distributed read
-    has no file order, so files with neither are refused."""
-    rows = spark.read.schema(HOMOGRAPHY).json(path)
-    number = F.expr("try_cast(frame AS BIGINT)")
-    named = rows.withColumn("idx", F.coalesce(number, F.col("line_no")))
+def read_calibration(spark: SparkSession, path: str) -> DataFrame:
+    """Calibration dumps with idx: the frame's number, or where no frame is a number the exported line number. A
+    distributed read has no file order, so files with neither are refused."""
+    named = spark.read.schema(HOMOGRAPHY).json(path).withColumn("idx", F.coalesce(F.expr("try_cast(frame AS BIGINT)"), F.col("line_no")))
     _refuse(named.filter("idx IS NULL").select("frame"), "a frame without a number or line number")
-    return named.select("idx", F.col("h_image_to_pitch").alias("h"))
+    return named
+
+
+def read_homographies(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, h) of calibration dumps."""
+    return read_calibration(spark, path).select("idx", F.col("h_image_to_pitch").alias("h"))
+
+
+def correspondences(calibration: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """(idx, landmark, wx, wy, u, v): the key points of each frame with their places on the pitch. landmarks:
+    landmark, wx, wy; points that it doesn't name, and ones without two coordinates, are left out."""
+    each = calibration.select("idx", F.explode("keypoints_px").alias("landmark", "p")).filter(F.size("p") >= 2)
+    return each.join(landmarks, "landmark").select("idx", "landmark", "wx", "wy", F.get("p", F.lit(0)).alias("u"), F.get("p", F.lit(1)).alias("v"))
 
 
 def read_signatures(spark: SparkSession, path: str) -> DataFrame:
@@ -106,11 +116,32 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RULE_SCHEMA).json(path)
 
 
+def _rounded(df: DataFrame) -> list:
+    """Doubles to 2 places, confidences to 3."""
+    return [F.round(f.name, 3 if "confidence" in f.name else 2).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in df.schema]
+
+
+def _documents(rows: DataFrame, keys: list[str], schema_name: str, name: str, order: tuple[str, str]) -> DataFrame:
+    body = F.struct(*(c for c, f in zip(_rounded(rows), rows.schema, strict=True) if f.name not in keys))
+
+    def before(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for c in reversed(order):
+            out = F.when(a[c] < b[c], -1).when(a[c] > b[c], 1).otherwise(out)
+        return out
+
+    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(body), before).alias(name))
+    return held.select(*keys, F.to_json(F.struct(F.lit(schema_name).alias("schema"), *(F.col(k) for k in keys), F.col(name))).alias("json"))
+
+
 def event_documents(events: DataFrame, schema_name: str = "match-events/v1") -> DataFrame:
-    """(match_id, json): one document per match, events by start and end."""
-    e = F.struct(*(F.col(c) for c in ("start_s", "end_s", *(c for c in events.columns if c not in ("match_id", "start_s", "end_s", "tags"))))) 
-    rows = events.groupBy("match_id").agg(F.array_sort(F.collect_list(e)).alias("events"))
-    return rows.select("match_id", F.to_json(F.struct(F.lit(schema_name).alias("schema"), "match_id", "events")).alias("json"))
+    """(match_id, json): one document per match, events by start and end, with their tags."""
+    return _documents(events, ["match_id"], schema_name, "events", ("start_s", "end_s"))
+
+
+def profile_documents(profile: DataFrame, schema_name: str = "pattern-profile/v1") -> DataFrame:
+    """(match_id, json): one document per match, its aggregates by pattern and team."""
+    return _documents(profile, ["match_id"], schema_name, "aggregates", ("pattern_id", "team"))
 
 
 def write_documents(docs: DataFrame, path: str, key: str = "match_id") -> None:
