@@ -59,6 +59,31 @@ def test_exact_dedup(spark, bits):
     assert set(kept.values()) == {1}
 
 
+def test_batches_added_to_an_index(spark, monkeypatch):
+    """Levels are merged, and copies in a new batch are found and verified, by filter and by join."""
+    monkeypatch.setattr(exact_dedup, "FANOUT", 2)
+    rows = [(i, f"Text {i % 17}" if i % 3 else None, "a") for i in range(60)]
+    batches = [docs(spark, rows[k : k + 12]) for k in range(0, 60, 12)]
+    index = exact_dedup.MergeIndex()
+    assert index.entries() is None and index.known(batches[0], batches[0]).count() == 0
+    for b in batches:
+        index = index.add(b)
+    assert sorted(k for k, _ in index.runs) == [0, 2]
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[low(t)].append(i)
+    got = {bytes(r["digest"]).hex(): (r["key"], r["n"]) for r in index.entries().collect()}
+    assert got == {hashlib.sha256(t.encode()).hexdigest(): (min(g), len(g)) for t, g in groups.items()}
+    new = docs(spark, [(100, "TEXT 3", "b"), (101, "text 99", "b"), (102, "", "b"), (100, "TEXT 3", "b")])
+    want = [(100, min(groups["text 3"]), len(groups["text 3"]))] * 2 + [(102, min(groups[""]), len(groups[""]))]
+    for most in (1 << 22, 0):
+        monkeypatch.setattr(exact_dedup, "FILTER_ENTRIES", most)
+        assert sorted(tuple(r) for r in index.known(new, docs(spark, rows)).collect()) == want
+    assert index.known(docs(spark, [(1, "no", "a")]), docs(spark, rows)).count() == 0
+    null = exact_dedup.exact_dedup(docs(spark, [(None, "t", "a"), (4, "T", "a"), (3, "t", "a")]), keep="smallest")
+    assert sorted((r["doc_id"] or 0, r["keep_id"], r["kept"]) for r in null.collect()) == [(0, 3, False), (3, 3, True), (4, 3, False)]
+
+
 def test_keep_distinct_and_empty(spark):
     df = docs(spark, EDGE)
     kept = exact_dedup.keep_distinct(df)
