@@ -76,9 +76,15 @@ def in_box(x: Column, y: Column, sign: int) -> Column:
     return (x * sign >= PITCH_LENGTH_M / 2 - BOX_DEPTH_M) & (F.abs(y) <= BOX_HALF_WIDTH_M)
 
 
-def boxes_loaded(players: DataFrame, frame: list[str], least: int = 3) -> DataFrame:
-    """Per frame whether both teams have `least` players in one penalty box. players: frame, team, x, y."""
-    inside = {(team, s): F.count_if((F.col("team") == team) & in_box(F.col("x"), F.col("y"), s)) for team in ("home", "away") for s in (1, -1)}
+def boxes_loaded(players: DataFrame, frame: list[str], least: int = 3, within: float | None = None) -> DataFrame:
+    """Per frame whether both teams have `least` players in one penalty box. players: frame, team, x, y; with
+    `within` also ball_x and ball_y, and a box counts only if its goal is as near to the ball, or the ball unknown."""
+
+    def reachable(s: int) -> Column:
+        away = F.hypot(F.col("ball_x") - s * PITCH_LENGTH_M / 2, F.col("ball_y"))
+        return F.lit(True) if within is None else F.coalesce(away <= within, F.lit(True))
+
+    inside = {(team, s): F.count_if((F.col("team") == team) & in_box(F.col("x"), F.col("y"), s) & reachable(s)) for team in ("home", "away") for s in (1, -1)}
     rows = players.groupBy(*frame).agg(*(c.alias(f"{team}{s}") for (team, s), c in inside.items()))
     loaded = [(F.col(f"`home{s}`") >= least) & (F.col(f"`away{s}`") >= least) for s in (1, -1)]
     return rows.select(*frame, (loaded[0] | loaded[1]).alias("loaded"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.operators import ball, calibration, events, features, patterns, scouting
+from touchline.operators import ball, calibration, events, features, match_events, patterns, scouting
 from touchline.operators import timeseries as ts
 from touchline.sources.derived import tracking
 from touchline.plans.domain_queries import PLAYERS, players as line_players
@@ -63,6 +63,19 @@ def q_stoppages(spark, d):
     return events.stoppages(p, b, kicks).select("match_id", "segment_id", "period", "explained_by", *(r(c, 4).alias(c) for c in ("start_t", "end_t", "confidence", "ball_observed")))
 
 
+def q_shots(spark, d):
+    """No restarts are known, so only what the ball does after a shot speaks."""
+    p, b = _resampled(spark, d)
+    found = match_events.shots(events.launches(p, b), p, b, tracking(spark, d)[3])
+    return found.select("match_id", "segment_id", "i", "team", "shooter", "outcome", "blocker", *(r(c, 4).alias(c) for c in ("start_t", "end_t", "confidence", "distance", "y_goal", "outcome_confidence")))
+
+
+def q_set_pieces(spark, d):
+    p, b = _resampled(spark, d)
+    found = match_events.set_pieces(events.launches(p, b), p, b, tracking(spark, d)[3])
+    return found.select("match_id", "segment_id", "team", "organisation", "wall_team", "wall_size", "box_loaded", "taker", "resumed", "runners_into_box", *(r(c, 4).alias(c) for c in ("start_t", "end_t", "x", "y", "confidence")))
+
+
 def _samples(spark, d):
     _, _, b, _ = tracking(spark, d)
     seen = F.col("x").isNotNull()
@@ -117,7 +130,7 @@ SELECT user_id, count_if(pace > 0.01) AS n_teleports FROM w GROUP BY user_id
 
 QUERIES = {
     "tracks_team_features": q_features, "tracks_possession": q_states, **{f"tracks_{k}": _pattern(b) for k, b in patterns.DETECTORS.items()}, "tracks_pattern_profile": q_profile,
-    "tracks_launches": q_launches, "tracks_stoppages": q_stoppages, "tracks_ball_quality": q_ball_quality, "tracks_ball_smoothed": q_ball_smoothed, "lineitem_landmark_support": q_support,
+    "tracks_launches": q_launches, "tracks_stoppages": q_stoppages, "tracks_shots": q_shots, "tracks_set_pieces": q_set_pieces, "tracks_ball_quality": q_ball_quality, "tracks_ball_smoothed": q_ball_smoothed, "lineitem_landmark_support": q_support,
     "lineitem_homographies": q_homography, "events_teleports": q_teleports,
 }
 ORACLE_SQL = {"lineitem_landmark_support": SUPPORT, "events_teleports": TELEPORTS}
