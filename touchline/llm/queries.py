@@ -1,6 +1,6 @@
 """The numbered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, language, media, mixing, near_dedup, privacy, segmentation, token_counts, toxicity, url_filter
+from . import exact_dedup, language, media, mixing, near_dedup, privacy, segmentation, token_counts, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_personal_data": privacy.query,
     "op9_toxicity": toxicity.query,
     "op10_url_filters": url_filter.query,
+    "op11_embedding_whitening": whitening.query,
 }
 
 ORACLE_SQL = {
