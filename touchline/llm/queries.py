@@ -1,6 +1,6 @@
 """The numbered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, language, media, mixing, near_dedup, privacy, segmentation, token_counts, toxicity, url_filter, whitening
+from . import exact_dedup, language, media, mixing, near_dedup, prefix_trie, privacy, segmentation, token_counts, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_url_filters": url_filter.query,
     "op11_embedding_whitening": whitening.query,
+    "op13_conversation_trie": prefix_trie.query,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_near_dedup": near_dedup.ORACLE_SQL,
     "op10_url_filters": url_filter.ORACLE_SQL,
+    "op13_conversation_trie": prefix_trie.ORACLE_SQL,
 }
