@@ -49,7 +49,8 @@ def resumptions(df: DataFrame, keys: list[str], t: str, asks: Column, plays: Col
     held = df.withColumns({"asks_": F.coalesce(asks, F.lit(False)), "plays_": F.coalesce(plays, F.lit(False)).cast("int")})
     runs = w.rowsBetween(0, n - 1)
     held = held.withColumn("from_", F.when((F.sum("plays_").over(runs) == n), F.col(t)))
-    first = F.first("from_", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    # From the series' end backwards: a running frame, however long the key.
+    first = F.last("from_", ignorenulls=True).over(W.partitionBy(*keys).orderBy(F.col(t).desc()).rowsBetween(W.unboundedPreceding, -1))
     held = held.withColumn("resumed_t", F.when(first <= F.col(t) + horizon, first))
     return held.filter("asks_").drop("asks_", "plays_", "from_")
 

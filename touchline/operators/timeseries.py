@@ -23,6 +23,12 @@ def _sofar(w: W) -> W:
     return w.rowsBetween(W.unboundedPreceding, 0)
 
 
+def _to_come(keys: Keys, by: str) -> W:
+    """The row itself and all later ones, the latest first: a running frame, so that a key of any length takes one pass.
+    (One that is unbounded at its following end is scanned anew for every row.)"""
+    return _sofar(W.partitionBy(*keys).orderBy(F.col(by).desc()))
+
+
 def segments(df: DataFrame, keys: Keys, t: str, max_gap: float, also: str | None = None, name: str = "segment_id", order: list[str] | None = None) -> DataFrame:
     """Numbers continuous stretches from 0: a new one starts after a gap over max_gap, or where `also` changes."""
     w = ordered(keys, order or [t])
@@ -135,7 +141,7 @@ def gaps(df: DataFrame, keys: Keys, order: str, t: str, detected: Column) -> Dat
     held = df.withColumn("seen_", F.coalesce(detected, F.lit(False)))
     row = F.struct(*(F.col(c) for c in df.columns))
     before = F.last(F.when(F.col("seen_"), row), ignorenulls=True).over(_sofar(w))
-    after = F.first(F.when(F.col("seen_"), row), ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    after = F.last(F.when(F.col("seen_"), row), ignorenulls=True).over(_to_come(keys, order))
     runs = islands(held.withColumn("before", before).withColumn("after", after), keys, order, ~F.col("seen_"), "gap")
     out = runs.groupBy(*keys, "gap").agg(F.min(t).alias("first_t"), F.max(t).alias("last_t"), F.count("*").alias("n_rows"), F.first("before").alias("before"), F.first("after").alias("after"))
     start = F.coalesce(F.col(f"before.{t}"), F.col("first_t"))
@@ -178,7 +184,7 @@ def interpolate(df: DataFrame, keys: Keys, order: str, t: str, columns: list[str
     seen = F.col(columns[0]).isNotNull()
     names = [t, *columns] + ([confidence] if confidence else [])
     row = F.when(seen, F.struct(*names))
-    held = df.withColumns({"p_": F.last(row, ignorenulls=True).over(_sofar(w)), "n_": F.first(row, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))})
+    held = df.withColumns({"p_": F.last(row, ignorenulls=True).over(_sofar(w)), "n_": F.last(row, ignorenulls=True).over(_to_come(keys, order))})
     span = F.col(f"n_.{t}") - F.col(f"p_.{t}")
     fill = ~seen & F.coalesce((span > 0) & (span <= max_gap), F.lit(False))
     held = held.withColumn("interpolated", fill)
