@@ -194,13 +194,13 @@ SELECT p_partkey, round(max(CASE WHEN name = 'centre' THEN u END), 3) AS u, roun
 # --- tendencies, zones, bands, events ---------------------------------------------------------------------------
 
 def q_line_tendency(spark, d):
-    p = table(spark, d, "part").select("p_brand", F.col("p_retailprice").cast("double").alias("height"), F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("ball"))
+    p = table(spark, d, "part").select("p_brand", F.col("p_retailprice").cast("double").alias("height"), F.col("p_size").alias("ball"))
     out = reports.line_tendency(p, ["p_brand"], "height", F.col("ball"))
     return out.select("p_brand", "bin", "n", r("mean_height", 4).alias("mean_height"))
 
 
 LINE_TENDENCY = """WITH b(bin, lo, hi) AS (VALUES ('0-10', -1e9, 10), ('10-20', 10, 20), ('20-35', 20, 35), ('35+', 35, 1e9)), br AS (SELECT DISTINCT p_brand FROM part)
-SELECT br.p_brand, bin, count(p.p_partkey) AS n, round(avg(CAST(p_retailprice AS DOUBLE)), 4) AS mean_height FROM br CROSS JOIN b LEFT JOIN part p ON p.p_brand = br.p_brand AND p_size % 10 <> 0 AND p_size >= lo AND p_size < hi GROUP BY ALL
+SELECT br.p_brand, bin, count(p.p_partkey) AS n, round(avg(CAST(p_retailprice AS DOUBLE)), 4) AS mean_height FROM br CROSS JOIN b LEFT JOIN part p ON p.p_brand = br.p_brand AND p_size >= lo AND p_size < hi GROUP BY ALL
 """
 
 
