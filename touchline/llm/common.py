@@ -47,15 +47,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, batches of so many rows go to Python: for wide rows, whose batches would take too much memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def arrow_rows(spark: SparkSession, rows: int, size: str = "16m") -> Iterator[None]:
+    """Within it, batches of so many rows and of that size at most go to Python: for wide rows, of which a worker holds
+    several copies. What is planned within it must run within it."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], str(min(rows, int(before[0])) if int(before[0]) > 0 else rows))
+    spark.conf.set(names[1], size)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
 
 
 def free_name(df: DataFrame, name: str) -> str:

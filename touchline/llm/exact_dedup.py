@@ -199,23 +199,20 @@ def _verdict(found: DataFrame, keep: str, n: str, key: str) -> DataFrame:
 
 
 def keep_distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns; of repeated rows one. Null texts count as
+    """The rows of docs that exact_dedup keeps, with all their columns whatever their names; of repeated rows one. Null texts count as
     empty ones, texts of any length are compared whole, and an empty table gives no rows.
 
     Only rows whose text may occur twice (by the bit filter) are shuffled.
     """
-    verdict = written(exact_dedup(docs.select(key, text), key, text, keep), "dedup-verdict")
+    verdict = written(exact_dedup(docs.select(quoted(key), quoted(text)), key, text, keep), "dedup-verdict")
     hits = verdict.filter("group_size > 1").select(F.unhex("text_sha256").alias("digest"))
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    held = held.withColumn("digest", F.unhex(F.sha2(normal_text(F.col(f"row.`{text}`")), 256)))
+    held = docs.select(F.struct(*(quoted(c) for c in docs.columns)).alias("row"))
+    in_row = lambda name: F.col("row").getField(name)
+    held = held.withColumn("digest", F.unhex(F.sha2(normal_text(in_row(text)), 256)))
     probed = probe(held, hits)
-    stays = verdict.filter("kept").select(F.col(key).alias("stay"), F.unhex("text_sha256").alias("digest"))
-    copies = (
-        probed.filter("maybe")
-        .join(stays, [probed["digest"] == stays["digest"], F.col(f"row.`{key}`").eqNullSafe(F.col("stay"))], "left_semi")
-        .withColumn("row_key", F.col(f"row.`{key}`"))
-        .dropDuplicates(["digest", "row_key"])
-    )
+    stays = verdict.filter("kept").select(quoted(key).alias("stay"), F.unhex("text_sha256").alias("stay_digest"))
+    copies = probed.filter("maybe").withColumn("row_key", in_row(key))
+    copies = copies.join(stays, (copies["digest"] == stays["stay_digest"]) & copies["row_key"].eqNullSafe(stays["stay"]), "left_semi").dropDuplicates(["digest", "row_key"])
     return probed.filter("not maybe").select("row.*").unionByName(copies.select("row.*"))
 
 

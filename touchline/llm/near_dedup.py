@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table, written
+from .common import arrow_rows, free_name, quoted, table, written
 from .exact_dedup import probe
 from .graph import components, hinted
 from .shingles import SetSketch, set_id, shingle_sets
@@ -37,7 +37,7 @@ HOT = 256
 #: About so many members of a bucket meet in a task where a bucket is joined with what belongs to it.
 DEAL = 256
 #: Rows of an Arrow batch of texts, and of pairs with both sets.
-TEXT_ROWS, PAIR_ROWS = 2000, 1000
+TEXT_ROWS, PAIR_ROWS = 2000, 500
 #: Bytes of text that are shingled at a time.
 BATCH_BYTES = 1 << 21
 
@@ -79,7 +79,7 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
                     names=["key", "n", "set_id", "regs", "bands"],
                 )
 
-    src = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    src = docs.select(quoted(key).alias("key"), quoted(text).cast("binary").alias("text"))
     return src.mapInArrow(run, f"key {key_type}, n long, set_id binary, regs binary, bands array<long>")
 
 
@@ -96,7 +96,7 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
                     names=["rep", "set_id", "hashes"],
                 )
 
-    src = docs.select(F.col(key).alias("rep"), F.col(text).cast("binary").alias("text"))
+    src = docs.select(quoted(key).alias("rep"), quoted(text).cast("binary").alias("text"))
     # A bit filter of bounded size leaves out most texts that nobody asks for.
     asked = probe(src.withColumn("digest", F.col("rep")), wanted.select(F.col("rep").alias("digest"))).filter("maybe")
     found = asked.select("rep", "text").mapInArrow(run, f"rep {key_type}, set_id binary, hashes binary")
@@ -184,7 +184,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows link if their shingle sets' Jaccard similarity is 0.75 or more, and form components through links.
     Null and empty texts have no shingles and are linked with nothing but rows of their own key. Rows with a
     null key are not linked: component_id is null and kept false. Repeated rows get the same result, and are
-    all kept or all dropped. Other columns are ignored.
+    all kept or all dropped. Other columns are ignored, names may hold anything, an empty table gives no rows, and
+    texts of any length are read whole.
     """
     with arrow_rows(docs.sparkSession, TEXT_ROWS):
         base = written(sketched(docs, key, text), "near-base")
@@ -261,19 +262,24 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         roots = roots.withColumn("label", F.col("set_id"))
     least = roots.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_set = roots.join(least, "label").select("set_id", "component_id")
-    return base.join(of_set, "set_id", "left").select(
-        F.col("key").alias(key),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "key") == F.col("key"), F.lit(False)).alias("kept"),
+    # Texts without words have no class to look up: they all share the null set_id.
+    alone = base.filter("set_id IS NULL").select("key", "n", F.col("key").alias("component_id"))
+    found = base.filter("set_id IS NOT NULL").join(of_set, "set_id").select("key", "n", "component_id")
+    # A null key is in no class's count of keys, so its own class may be unknown; it has no component either way.
+    unkeyed = base.filter("set_id IS NOT NULL AND key IS NULL").select("key", "n", F.col("key").alias("component_id"))
+    return found.filter("key IS NOT NULL").unionByName(alone).unionByName(unkeyed).select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("key"), F.lit(False)).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that near_components keeps, with all their columns; rows with a null key stay."""
-    verdict = written(near_components(docs.select(key, text), key, text), "near-verdict")
-    drop = verdict.filter(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("drop_key")).distinct()
-    return docs.join(drop, docs[key] == F.col("drop_key"), "left_anti")
+    """The rows of docs that near_components keeps, with all their columns whatever their names; rows with a null key
+    stay, repeated rows stay or go together, null and empty texts stay, texts of any length are compared whole, and an
+    empty table gives no rows."""
+    verdict = written(near_components(docs.select(quoted(key), quoted(text)), key, text), "near-verdict")
+    gone = free_name(docs, "drop_key")
+    drop = verdict.filter(~F.col("kept") & quoted(key).isNotNull()).select(quoted(key).alias(gone)).distinct()
+    return docs.join(drop, quoted(key) == F.col(gone), "left_anti")
 
 
 def query(spark, sf_dir):
