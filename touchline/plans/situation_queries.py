@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.functions import camera
-from touchline.operators import reports, scouting, situations
+from touchline.operators import calibration, reports, scouting, situations
 from touchline.plans import domain_queries as dq
 from touchline.plans.series_queries import POINTS, points
 from touchline.sources.tables import table
@@ -191,6 +191,17 @@ SELECT p_partkey, round(max(CASE WHEN name = 'centre' THEN u END), 3) AS u, roun
 """.replace("{marks}", ", ".join(f"('{n}', {x}::DOUBLE, {y}::DOUBLE)" for n, x, y in MARKS))
 
 
+def q_poses(spark, d):
+    """The cameras that are found again in the homographies of all parts."""
+    found = calibration.decompose_homographies(poses(spark, d).select("p_partkey", "h"), "h", 960.0, 540.0)
+    return found.select("p_partkey", *((r(c, 4) + 0.0).alias(c) for c in ("pan", "tilt", "roll", "x", "y", "z")), r("focal", 2).alias("focal"))
+
+
+POSES = """SELECT p_partkey, p_partkey % 41 - 20.0::DOUBLE AS pan, round(p_size / 5.0::DOUBLE + 5, 4) AS tilt, p_partkey % 7 - 3.0::DOUBLE AS roll, 0.0::DOUBLE AS x, -60.0::DOUBLE AS y, p_partkey % 11 + 10.0::DOUBLE AS z,
+  round(CAST(p_retailprice AS DOUBLE) + 500, 2) AS focal FROM part
+"""
+
+
 # --- tendencies, zones, bands, events ---------------------------------------------------------------------------
 
 def q_line_tendency(spark, d):
@@ -296,7 +307,7 @@ SELECT team, pattern_id, count(*) AS n, round(avg(CASE WHEN s = 0 OR c <= 0 THEN
 _ALL = {
     "events_isolation_spans": (q_isolation, ISOLATION), "events_dead_balls": (q_dead_balls, DEAD), "events_last_touch": (q_last_touch, LAST_TOUCH), "events_resumptions": (q_resumptions, RESUMPTIONS),
     "events_pitch_crossings": (q_crossings, CROSSINGS), "lineitem_lines_and_halves": (q_lines, LINES), "lineitem_boxes_loaded": (q_boxes, BOXES), "lineitem_runners_into_box": (q_runners, RUNNERS),
-    "lineitem_walls": (q_walls, WALLS), "part_cameras": (q_cameras, CAMERAS), "part_line_tendency": (q_line_tendency, LINE_TENDENCY), "lineitem_image_bands": (q_bands, BANDS),
+    "lineitem_walls": (q_walls, WALLS), "part_cameras": (q_cameras, CAMERAS), "part_poses": (q_poses, POSES), "part_line_tendency": (q_line_tendency, LINE_TENDENCY), "lineitem_image_bands": (q_bands, BANDS),
     "orders_top_clips": (q_top_clips, TOP_CLIPS), "orders_event_filters": (q_event_filters, EVENT_FILTERS), "nation_match_profile": (q_match_profile, MATCH_PROFILE),
     "nation_scouting_report": (q_report, REPORT), "orders_prior_audit": (q_audit, AUDIT),
 }

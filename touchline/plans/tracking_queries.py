@@ -113,11 +113,24 @@ SELECT frame, n, round(major, 5) AS major, round(minor, 5) AS minor, round(CASE
 
 
 def q_homography(spark, d):
-    c = written(_correspondences(spark, d), "correspondences")
-    fits = written(calibration.fit_homographies(c, ["frame"]), "homographies")
-    good = fits.filter("h IS NOT NULL").select("frame", "h")
-    rep = calibration.reprojection(c, good, ["frame"])
-    return fits.select("frame", "n", F.col("h").isNotNull().alias("fitted")).join(rep.select("frame", (F.col("rms") < 1e-3).alias("exact")), "frame", "left")
+    """Whether a frame's landmarks settle its homography, and whether this gives their places back. Exact points need only a
+    gap above rounding."""
+    fits = calibration.fit_homographies(written(_correspondences(spark, d), "correspondences"), ["frame"], min_gap=1e-13)
+    return fits.select("frame", "n", F.col("h").isNotNull().alias("fitted"), (F.col("rms") < 1e-3).alias("exact"))
+
+
+#: Four landmarks of which no three are on a line settle a homography.
+HOMOGRAPHY = PLAYERS + """, t AS (
+  SELECT DISTINCT frame, x, y FROM pl
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY frame ORDER BY x, y) AS k FROM t
+), q AS (
+  SELECT a.frame FROM k a JOIN k b ON b.frame = a.frame AND b.k > a.k JOIN k c ON c.frame = a.frame AND c.k > b.k JOIN k d ON d.frame = a.frame AND d.k > c.k
+  WHERE (b.x - a.x) * (c.y - a.y) <> (c.x - a.x) * (b.y - a.y) AND (b.x - a.x) * (d.y - a.y) <> (d.x - a.x) * (b.y - a.y) AND (c.x - a.x) * (d.y - a.y) <> (d.x - a.x) * (c.y - a.y) AND (c.x - b.x) * (d.y - b.y) <> (d.x - b.x) * (c.y - b.y)
+  GROUP BY a.frame
+)
+SELECT pl.frame, count(*) AS n, bool_or(q.frame IS NOT NULL) AS fitted, CASE WHEN bool_or(q.frame IS NOT NULL) THEN true END AS exact FROM pl LEFT JOIN q ON q.frame = pl.frame GROUP BY pl.frame
+"""
 
 
 def q_teleports(spark, d):
@@ -133,4 +146,4 @@ QUERIES = {
     "tracks_launches": q_launches, "tracks_stoppages": q_stoppages, "tracks_shots": q_shots, "tracks_set_pieces": q_set_pieces, "tracks_ball_quality": q_ball_quality, "tracks_ball_smoothed": q_ball_smoothed, "lineitem_landmark_support": q_support,
     "lineitem_homographies": q_homography, "events_teleports": q_teleports,
 }
-ORACLE_SQL = {"lineitem_landmark_support": SUPPORT, "events_teleports": TELEPORTS}
+ORACLE_SQL = {"lineitem_landmark_support": SUPPORT, "lineitem_homographies": HOMOGRAPHY, "events_teleports": TELEPORTS}
