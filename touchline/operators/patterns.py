@@ -245,18 +245,21 @@ DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def detect_all(rows: DataFrame, detectors: dict[str, Callable[[DataFrame], DataFrame]] = DETECTORS) -> DataFrame:
-    """The union of all detectors' events; a detector that can't be planned on these columns is left out."""
+def detect_all(rows: DataFrame, detectors: dict[str, Callable[[DataFrame], DataFrame]] = DETECTORS, skipped: dict[str, str] | None = None) -> DataFrame:
+    """The union of all detectors' events. A detector that can't be planned on these columns raises; a caller that gives
+    `skipped` gets its name and reason there instead, so that a result without it doesn't look whole."""
     parts = []
     for name, build in detectors.items():
         try:
             part = build(rows)
             part.schema  # noqa: B018  analysed here, so that a failure stays this detector's
             parts.append(part)
-        except Exception as e:  # noqa: BLE001
-            import warnings
-
-            warnings.warn(f"{name} is left out: {str(e)[:200]}", stacklevel=2)
+        except Exception as e:
+            if skipped is None:
+                raise
+            skipped[name] = str(e)[:500]
+    if not parts:
+        raise ValueError(f"no detector can be planned: {skipped}")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

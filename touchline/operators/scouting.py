@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.scalar import logit, rate_per_90, recency_weight, sigmoid, soft_threshold, volume_weight, wilson_bounds
@@ -125,53 +126,93 @@ def override_rules(rules: DataFrame, order: tuple[str, ...] = ("analyst", "start
     return rules.groupBy("rule_id").agg(F.min_by(row, rank).alias("r")).select("r.*")
 
 
+#: What a headline may name, besides the keys of its rule's `where`; sides are those of the side that has the pattern.
+NAMED = ("team", "pattern", "count", "rate_per_90", "mean_confidence", "mean_intensity")
+SIDED = ("side", "mirrored_side")
+
+
 def validate_rules(rules: DataFrame, patterns: list[str]) -> DataFrame:
-    """(rule_id, problem) rows: unknown patterns, duplicate ids, priorities outside 0..1, unknown placeholders."""
-    known = ("team", "pattern", "count", "rate_per_90", "mean_confidence", "mirrored_side", "side")
+    """(rule_id, problem) rows: unknown patterns and scopes, duplicate ids, priorities outside 0..1, unknown
+    placeholders (of sides, those of rules that ask for none)."""
+    asked = F.coalesce(F.map_keys("where"), F.array().cast("array<string>"))
+    known = F.array_union(F.array(*(F.lit(k) for k in NAMED)), F.when(F.array_contains(asked, "side"), F.array_union(asked, F.array(*(F.lit(k) for k in SIDED)))).otherwise(asked))
     single = rules.select(
         "rule_id",
         F.explode(F.array_compact(F.array(
             F.when(~F.col("pattern_id").isin(*patterns), F.lit("unknown pattern")), F.when(~F.col("priority").between(0, 1), F.lit("priority out of range")),
-            F.when(F.size(F.array_except(F.regexp_extract_all("headline", F.lit(r"\{([a-z_0-9]+)")), F.array(*(F.lit(k) for k in known)))) > 0, F.lit("unknown placeholder")),
+            F.when(~F.coalesce("scope", F.lit("opponent")).isin("opponent", "self"), F.lit("unknown scope")),
+            F.when(F.size(F.array_except(F.regexp_extract_all("headline", F.lit(r"\{([a-z_0-9]+)")), known)) > 0, F.lit("unknown placeholder")),
         ))).alias("problem"),
     )
     twice = rules.groupBy("rule_id").agg(F.count("*").alias("n")).filter("n > 1").select("rule_id", F.lit("duplicate id").alias("problem"))
     return single.unionByName(twice)
 
 
-def recommend(profile: DataFrame, rules: DataFrame, squad: DataFrame, tags: DataFrame | None = None, per_team: int = 8, min_score: float = 0.15, demotion: float = 0.5) -> DataFrame:
-    """Ranked recommendations for each profiled opponent.
-
-    profile: team, pattern_id, n, rate_per_90, mean_confidence, mean_intensity. rules: RULE_SCHEMA, a small
-    table. squad: capability (those that the advised team has). tags: team, pattern_id, tag, value, n. A rule's
-    strength is the geometric mean of soft margins over its thresholds, 0 if a hard one fails; each missing
-    requirement multiplies the score by `demotion` and is listed. The best rule of a conflict group stays.
+def rendered(headline: Column, team: Column, where: Column) -> Column:
+    """headline with its placeholders filled in: NAMED (numbers also as {x:.0f}, {x:.1f} and {x:.2f}), SIDED, keys of where."""
+    side = F.element_at(where, "side")
+    text = {"team": team.cast("string"), "pattern": F.col("pattern_id"), "count": F.col("n").cast("string"), "side": side, "mirrored_side": F.when(side == "left", "right").when(side == "right", "left").otherwise(side)}
+    for name in ("rate_per_90", "mean_confidence", "mean_intensity"):
+        text |= {f"{name}{spec}": F.format_string(f"%{how}f", F.col(name).cast("double")) for spec, how in (("", ".2"), (":.0f", ".0"), (":.1f", ".1"), (":.2f", ".2"))}
+    for name, value in text.items():
+        headline = F.replace(headline, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    entries = F.map_entries(F.coalesce(where, F.create_map().cast("map<string,string>")))
+    return F.aggregate(entries, headline, lambda h, e: F.replace(h, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
+
+
+def recommend(
+    profile: DataFrame, rules: DataFrame, squad: DataFrame, tags: DataFrame | None = None, per_team: int = 8, min_score: float = 0.15, demotion: float = 0.5,
+    advised: str | int | None = None, events: DataFrame | None = None, clips: int = 6,
+) -> DataFrame:
+    """Ranked recommendations against each profiled team: team, rank, rule_id, pattern_id, score, unmet, headline, n,
+    rate_per_90, of_team (whose pattern it is) and clips.
+
+    profile: team, pattern_id, n, rate_per_90, mean_confidence, mean_intensity. rules: RULE_SCHEMA. squad: capability
+    (those that the advised team has). tags: team, pattern_id, tag, value, n; without it no rule with a `where` matches.
+    A rule of scope opponent (or null) is about the team's pattern, one of scope self about that of the advised team, and
+    is there against every other team; without one such rules match nothing, and with one it is no opponent. A rule's
+    strength is the geometric mean of soft margins over its thresholds, 0 if a hard one fails; each missing requirement
+    multiplies the score by `demotion` and is listed. The best rule of a conflict group stays. clips: of events (team,
+    pattern_id, match_id, start_s, end_s, confidence), the surest ones of the pattern; empty without events.
     """
-    r = F.broadcast(rules)
-    hit = profile.join(r, "pattern_id")
+    hit = profile.join(rules, "pattern_id").withColumn("scope", F.coalesce("scope", F.lit("opponent")))
 
     def over(value: str, least: str) -> Column:
         return F.coalesce(F.col(value) >= F.col(least), F.col(least).isNull())
 
     hit = hit.filter(over("n", "min_occurrences") & over("rate_per_90", "min_rate_per_90") & over("mean_confidence", "min_mean_confidence") & over("mean_intensity", "min_mean_intensity"))
-    if tags is not None:
+    nothing = F.create_map().cast("map<string,string>")
+    if tags is None:
+        hit = hit.filter(F.size(F.coalesce("where", nothing)) == 0)
+    else:
         held = tags.filter("n > 0").groupBy("team", "pattern_id").agg(F.collect_set(F.concat("tag", F.lit("="), "value")).alias("held"))
         hit = hit.join(held, ["team", "pattern_id"], "left")
-        wanted = F.transform(F.map_entries(F.coalesce("where", F.create_map().cast("map<string,string>"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+        wanted = F.transform(F.map_entries(F.coalesce("where", nothing)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
         hit = hit.filter(F.forall(wanted, lambda x: F.coalesce(F.array_contains("held", x), F.lit(False))))
+    ours = F.lit(False) if advised is None else F.col("team") == F.lit(advised)
+    theirs = hit.filter((F.col("scope") == "opponent") & ~ours).withColumn("against", F.col("team"))
+    if advised is not None:
+        # A few rules of the advised team, against each other team.
+        others = profile.filter(~ours).select(F.col("team").alias("against")).distinct()
+        theirs = theirs.unionByName(hit.filter((F.col("scope") == "self") & ours).crossJoin(others))
     margins = (
         soft_threshold(F.col("rate_per_90"), F.coalesce("min_rate_per_90", F.lit(0.0)), 2.0)
         * soft_threshold(F.col("mean_confidence"), F.coalesce("min_mean_confidence", F.lit(0.0)), 0.15)
         * soft_threshold(F.col("mean_intensity"), F.coalesce("min_mean_intensity", F.lit(0.0)), 0.15)
     )
     have = squad.agg(F.collect_set("capability").alias("have"))
-    hit = hit.crossJoin(F.broadcast(have)).withColumn("unmet", F.array_sort(F.array_except(F.coalesce("requires", F.array().cast("array<string>")), "have")))
+    hit = theirs.crossJoin(F.broadcast(have)).withColumn("unmet", F.array_sort(F.array_except(F.coalesce("requires", F.array().cast("array<string>")), "have")))
     hit = hit.withColumn("score", F.col("priority") * F.pow(margins, F.lit(1 / 3)) * F.pow(F.lit(demotion), F.size("unmet")))
-    row = F.struct("rule_id", "pattern_id", "score", "unmet", "headline", "n", "rate_per_90")
-    best = hit.groupBy("team", F.coalesce("conflicts_group", "rule_id").alias("g")).agg(F.max_by(row, F.struct("score", "rule_id")).alias("r"))
+    hit = hit.withColumn("headline", rendered(F.col("headline"), F.col("team"), F.col("where")))
+    row = F.struct("rule_id", "pattern_id", "score", "unmet", "headline", "n", "rate_per_90", F.col("team").alias("of_team"))
+    best = hit.groupBy("against", F.coalesce("conflicts_group", "rule_id").alias("g")).agg(F.max_by(row, F.struct("score", "rule_id")).alias("r"))
     kept = best.filter(F.col("r.score") >= min_score)
     # Rules are few, so a team's list is short.
-    ranked = kept.groupBy("team").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("r.score").alias("score"), F.col("r").alias("r"))), asc=False), 1, per_team).alias("rs"))
-    out = ranked.select("team", F.posexplode("rs").alias("pos", "x")).select("team", (F.col("pos") + 1).alias("rank"), "x.r.*")
-    text = F.replace(F.replace("headline", F.lit("{team}"), F.col("team").cast("string")), F.lit("{count}"), F.col("n").cast("string"))
-    return out.withColumn("headline", F.replace(text, F.lit("{rate_per_90:.1f}"), F.format_string("%.1f", "rate_per_90")))
+    ranked = kept.groupBy("against").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("r.score").alias("score"), F.col("r").alias("r"))), asc=False), 1, per_team).alias("rs"))
+    out = ranked.select(F.col("against").alias("team"), F.posexplode("rs").alias("pos", "x")).select("team", (F.col("pos") + 1).alias("rank"), "x.r.*")
+    if events is None:
+        return out.withColumn("clips", F.array().cast("array<struct<match_id:string,start_s:double,end_s:double,confidence:double>>"))
+    order = W.partitionBy("team", "pattern_id").orderBy(F.col("confidence").desc_nulls_last(), "match_id", "start_s", "end_s")
+    span = F.struct(F.col("k"), F.struct(F.col("match_id").cast("string").alias("match_id"), "start_s", "end_s", "confidence").alias("clip"))
+    shown = events.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= clips).groupBy(F.col("team").alias("of_team"), "pattern_id").agg(F.sort_array(F.collect_list(span)).alias("c"))
+    return out.join(shown.select("of_team", "pattern_id", F.col("c.clip").alias("clips")), ["of_team", "pattern_id"], "left").withColumn("clips", F.coalesce("clips", F.array()))

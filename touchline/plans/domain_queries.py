@@ -342,27 +342,47 @@ SELECT team, pattern_id, round(p_team, 5) AS p_team, round(trust, 5) AS trust, r
 RULES = [
     ("r1", "starter", 0.9, "1-URGENT", "opponent", None, 3.0, 0.3, None, None, ["pace"], "g1", "{team} does it {rate_per_90:.1f} times"),
     ("r1", "analyst", 0.8, "1-URGENT", "opponent", None, 2.0, 0.3, None, None, ["pace"], "g1", "{team} does it {count} times"),
-    ("r2", "starter", 0.7, "2-HIGH", "opponent", None, 2.0, None, 0.2, None, ["height", "pace"], "g1", "use {side}"),
+    ("r2", "starter", 0.7, "2-HIGH", "opponent", None, 2.0, None, 0.2, {"side": "left"}, ["height", "pace"], "g1", "use your {mirrored_side}, their {side}: {pattern}"),
     ("r3", "starter", 0.6, "5-LOW", "opponent", 10, None, None, None, None, None, None, "{team}: {count}"),
+    ("r4", "starter", 0.5, "3-MEDIUM", "self", 5, None, None, None, None, None, None, "our own {pattern}, {count} times"),
+    ("r5", "starter", 0.4, "4-NOT SPECIFIED", None, None, None, None, None, {"side": "left"}, None, None, "{mean_confidence:.2f} on the {side}"),
 ]
+#: The nation that is advised, and the price from which an order counts as on the left.
+ADVISED, LEFT = 3, 497_000.0
 
 
 def q_recommend(spark, d):
     rules = scouting.override_rules(spark.createDataFrame(RULES, scouting.RULE_SCHEMA))
     squad = spark.createDataFrame([("pace",)], "capability string")
     prof = tendency(spark, d).select("team", "pattern_id", F.col("n_matches").cast("int").alias("n"), F.col("weighted_rate").alias("rate_per_90"), "mean_confidence", "mean_intensity")
-    return scouting.recommend(prof, rules, squad).select("team", "rank", "rule_id", r("score", 5).alias("score"), F.size("unmet").alias("n_unmet"))
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    side = F.when(F.col("o_totalprice") >= LEFT, "left").otherwise("right")
+    tags = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("team"), F.col("o_orderpriority").alias("pattern_id"), F.lit("side").alias("tag"), side.alias("value")).agg(F.count("*").alias("n"))
+    out = scouting.recommend(prof, rules, squad, tags, advised=ADVISED, events=pattern_events(spark, d))
+    surest = F.get("clips", F.lit(0))
+    return out.select("team", "rank", "rule_id", "of_team", "headline", r("score", 5).alias("score"), F.size("unmet").alias("n_unmet"), F.size("clips").alias("n_clips"), r(surest["confidence"], 5).alias("surest"))
 
 
 _SOFT = "1 / (1 + exp(-(({0}) - ({1})) / {2}))"
-RECOMMEND = SCOUTING_CTE + f""", ru(rule_id, priority, pattern_id, mo, mr, mc, mi, unmet, grp) AS (
-  VALUES ('r1', 0.8::DOUBLE, '1-URGENT', NULL::INT, 2.0::DOUBLE, 0.3::DOUBLE, NULL::DOUBLE, 0, 'g1'), ('r2', 0.7, '2-HIGH', NULL, 2.0, NULL, 0.2, 1, 'g1'), ('r3', 0.6, '5-LOW', 10, NULL, NULL, NULL, 0, 'r3')
+RECOMMEND = SCOUTING_CTE + f""", ru(rule_id, priority, pattern_id, scope, mo, mr, mc, mi, unmet, grp, asks) AS (
+  VALUES ('r1', 0.8::DOUBLE, '1-URGENT', 'opponent', NULL::INT, 2.0::DOUBLE, 0.3::DOUBLE, NULL::DOUBLE, 0, 'g1', false), ('r2', 0.7, '2-HIGH', 'opponent', NULL, 2.0, NULL, 0.2, 1, 'g1', true), ('r3', 0.6, '5-LOW', 'opponent', 10, NULL, NULL, NULL, 0, 'r3', false),
+    ('r4', 0.5, '3-MEDIUM', 'self', 5, NULL, NULL, NULL, 0, 'r4', false), ('r5', 0.4, '4-NOT SPECIFIED', 'opponent', NULL, NULL, NULL, NULL, 0, 'r5', true)
+), le AS (SELECT DISTINCT c_nationkey AS team, o_orderpriority AS pattern_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice >= {LEFT}
 ), hi AS (
-  SELECT team, rule_id, grp, unmet, priority * power({_SOFT.format('weighted_rate', 'coalesce(mr, 0)', 2)} * ({_SOFT.format('mean_confidence', 'coalesce(mc, 0)', 0.15)}) * ({_SOFT.format('mean_intensity', 'coalesce(mi, 0)', 0.15)}), 1.0::DOUBLE / 3) * power(0.5, unmet) AS score
-  FROM td JOIN ru USING (pattern_id) WHERE (mo IS NULL OR n_matches >= mo) AND (mr IS NULL OR weighted_rate >= mr) AND (mc IS NULL OR mean_confidence >= mc) AND (mi IS NULL OR mean_intensity >= mi)
-), be AS (SELECT *, row_number() OVER (PARTITION BY team, grp ORDER BY score DESC, rule_id DESC) AS k FROM hi
-), ra AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY score DESC, rule_id DESC) AS rank FROM be WHERE k = 1 AND score >= 0.15)
-SELECT team, CAST(rank AS INTEGER) AS rank, rule_id, round(score, 5) AS score, unmet AS n_unmet FROM ra WHERE rank <= 8
+  SELECT td.*, rule_id, grp, unmet, scope, priority * power({_SOFT.format('weighted_rate', 'coalesce(mr, 0)', 2)} * ({_SOFT.format('mean_confidence', 'coalesce(mc, 0)', 0.15)}) * ({_SOFT.format('mean_intensity', 'coalesce(mi, 0)', 0.15)}), 1.0::DOUBLE / 3) * power(0.5, unmet) AS score
+  FROM td JOIN ru USING (pattern_id) LEFT JOIN le USING (team, pattern_id)
+  WHERE (mo IS NULL OR n_matches >= mo) AND (mr IS NULL OR weighted_rate >= mr) AND (mc IS NULL OR mean_confidence >= mc) AND (mi IS NULL OR mean_intensity >= mi)
+    AND (NOT asks OR EXISTS (SELECT 1 FROM le WHERE le.team = td.team AND le.pattern_id = td.pattern_id))
+), ag AS (
+  SELECT hi.*, team AS against FROM hi WHERE scope = 'opponent' AND team <> {ADVISED}
+  UNION ALL SELECT hi.*, o.team FROM hi CROSS JOIN (SELECT DISTINCT team FROM td WHERE team <> {ADVISED}) o WHERE scope = 'self' AND hi.team = {ADVISED}
+), be AS (SELECT *, row_number() OVER (PARTITION BY against, grp ORDER BY score DESC, rule_id DESC) AS k FROM ag
+), ra AS (SELECT *, row_number() OVER (PARTITION BY against ORDER BY score DESC, rule_id DESC) AS rank FROM be WHERE k = 1 AND score >= 0.15
+), cl AS (SELECT team, pattern_id, least(6, count(*)) AS n_clips, max(confidence) AS surest FROM pe GROUP BY ALL)
+SELECT against AS team, CAST(rank AS INTEGER) AS rank, rule_id, ra.team AS of_team, round(score, 5) AS score, unmet AS n_unmet, CAST(coalesce(n_clips, 0) AS INTEGER) AS n_clips, round(surest, 5) AS surest,
+  CASE rule_id WHEN 'r1' THEN ra.team || ' does it ' || n_matches || ' times' WHEN 'r2' THEN 'use your right, their left: 2-HIGH' WHEN 'r3' THEN ra.team || ': ' || n_matches WHEN 'r4' THEN 'our own 3-MEDIUM, ' || n_matches || ' times'
+    ELSE printf('%.2f', mean_confidence) || ' on the left' END AS headline
+FROM ra LEFT JOIN cl ON cl.team = ra.team AND cl.pattern_id = ra.pattern_id WHERE rank <= 8
 """
 
 

@@ -79,19 +79,21 @@ def q_set_pieces(spark, d):
 def _samples(spark, d):
     _, _, b, _ = tracking(spark, d)
     seen = F.col("x").isNotNull()
-    return b.select("match_id", F.col("timestamp_s").alias("t"), "x", "y", F.when(seen, 0.2 + F.pmod("frame_index", F.lit(5)) / 10).alias("confidence"), (F.pmod("frame_index", F.lit(11)) == 0).cast("int").alias("extra")).withColumn(
+    b = ts.segments(b, ["match_id"], "timestamp_s", 1.0, also="period")
+    return b.select("match_id", "segment_id", F.col("timestamp_s").alias("t"), "x", "y", F.when(seen, 0.2 + F.pmod("frame_index", F.lit(5)) / 10).alias("confidence"), (F.pmod("frame_index", F.lit(11)) == 0).cast("int").alias("extra")).withColumn(
         "n_candidates", F.col("extra") + seen.cast("int")
     ).withColumn("interpolated", F.lit(False)).drop("extra")
 
 
 def q_ball_quality(spark, d):
-    return ball.ball_quality(_samples(spark, d), ["match_id"]).select("match_id", r("t", 3).alias("t"), r("quality", 5).alias("quality"), r("support", 5).alias("support"), r("speed", 4).alias("speed"))
+    return ball.ball_quality(_samples(spark, d), features.K).select("match_id", "segment_id", r("t", 3).alias("t"), r("quality", 5).alias("quality"), r("support", 5).alias("support"), r("speed", 4).alias("speed"))
 
 
 def q_ball_smoothed(spark, d):
-    scored = ball.ball_quality(_samples(spark, d), ["match_id"])
-    out = ball.smoothed(scored, ["match_id"], bidirectional=True)
-    return out.select("match_id", r("t", 3).alias("t"), "status", *(r(c, 4).alias(c) for c in ("sx", "sy", "svx", "svy")))
+    """Nothing bridges a cut: quality and smoothing are those of a segment."""
+    scored = ball.ball_quality(_samples(spark, d), features.K)
+    out = ball.smoothed(scored, features.K, bidirectional=True)
+    return out.select("match_id", "segment_id", r("t", 3).alias("t"), "status", *(r(c, 4).alias(c) for c in ("sx", "sy", "svx", "svy")))
 
 
 def _correspondences(spark, d):
