@@ -53,6 +53,10 @@ def sf(spark, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     urls = [None, "", "nope", "http://A.Net/x", "https://x.example.net/en/1?q#f", "http://xexample.net/en/", "ftp://u.org/fr/", "http://example.com/de/?", "http://q.example.com?/de/"]
     spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    talk = [(c, t, ("user", "assistant", None)[t % 3], f"turn {t * (c % 3)} of" if t else "hello all") for c in range(45) for t in range(1 + c % 5)] + [(7, None, "user", None), (None, 1, "user", "x")]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{at}/conversations.parquet")
+    vectors = [(i, [math.sin(i * (k + 1)) * (k + 1) for k in range(10)], i % 3) for i in range(50)] + [(50, None, 1), (51, [None] * 10, 1), (52, [math.nan] * 10, None), (0, [0.5] * 10, 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
@@ -71,7 +75,7 @@ def result(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet/*.parquet')")
     out = con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in out.description]
@@ -81,6 +85,17 @@ def test_queries_equal_their_sql(spark, sf, name):
     assert sorted((r.asDict() for r in got.select(*names).collect()), key=repr) == want
 
 
+def test_whitening_query(spark, sf):
+    rows = queries.QUERIES["op11_embedding_whitening"](spark, sf).collect()
+    assert len(rows) == 51 * 8 and {r["n"] for r in rows} == {51} and sorted({r["component"] for r in rows}) == list(range(1, 9))
+    assert max(r["identity_error"] for r in rows) < 1e-9 and all(r["deviation"] == int(r["deviation_exact"]) for r in rows)
+
+
+def test_extraction_query(spark, sf):
+    rows = queries.QUERIES["op12_html_extraction"](spark, sf).collect()
+    assert len(rows) == 9 and {(r["text"], r["n_chars"]) for r in rows} == {("", 0)}
+
+
 def test_mix_query(spark, sf, rows):
     _, got = result(spark, sf, "op1_mix_sources")
     size = {i: len(ws(t)) for i, (t, *_) in rows.items()}

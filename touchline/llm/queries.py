@@ -22,6 +22,5 @@ ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_near_dedup": near_dedup.ORACLE_SQL,
     "op10_url_filters": url_filter.ORACLE_SQL,
-    "op12_html_extraction": html_extract.query,
     "op13_conversation_trie": prefix_trie.ORACLE_SQL,
 }
