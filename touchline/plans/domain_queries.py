@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.functions.scalar import hull_area, third
-from touchline.operators import evaluation, scouting, shape, shots
+from touchline.functions.scalar import hull_area
+from touchline.operators import evaluation, reports, scouting, shape, shots
 from touchline.sources.tables import table
 
 
@@ -411,9 +411,7 @@ SELECT o_orderpriority, round(v, 2) AS q25 FROM k WHERE i = CAST(floor((n - 1) *
 
 
 def q_zones(spark, d):
-    p = table(spark, d, "part").select(third(F.col("p_size") - 26.0, 51.0).alias("gx"), third(F.col("p_retailprice").cast("double") - 1500.0, 1200.0).alias("gy"))
-    cells = spark.range(3).select(F.col("id").cast("int").alias("gx")).crossJoin(spark.range(3).select(F.col("id").cast("int").alias("gy")))
-    return cells.join(p.groupBy("gx", "gy").agg(F.count("*").alias("n")), ["gx", "gy"], "left").select("gx", "gy", F.coalesce("n", F.lit(0)).alias("n"))
+    return reports.zone_grid(table(spark, d, "part"), F.col("p_size") - 26.0, F.col("p_retailprice").cast("double") - 1500.0, 51.0, 1200.0)
 
 
 ZONES = """WITH z AS (
@@ -424,9 +422,8 @@ SELECT c.gx, c.gy, count(z.gx) AS n FROM c LEFT JOIN z ON z.gx = c.gx AND z.gy =
 
 
 def q_bins(spark, d):
-    size = F.col("p_size")
-    label = F.when(size < 10, "0-10").when(size < 20, "10-20").when(size < 35, "20-35").otherwise("35+")
-    return table(spark, d, "part").groupBy("p_brand", label.alias("bin")).agg(F.count("*").alias("n"), r(F.avg(F.col("p_retailprice").cast("double")), 4).alias("mean_height"))
+    found = reports.line_tendency(table(spark, d, "part").select("p_brand", "p_size", F.col("p_retailprice").cast("double").alias("height")), ["p_brand"], "height", F.col("p_size"))
+    return found.filter("n > 0").select("p_brand", "bin", "n", r("mean_height", 4).alias("mean_height"))
 
 
 BINS = """SELECT p_brand, CASE WHEN p_size < 10 THEN '0-10' WHEN p_size < 20 THEN '10-20' WHEN p_size < 35 THEN '20-35' ELSE '35+' END AS bin, count(*) AS n, round(avg(CAST(p_retailprice AS DOUBLE)), 4) AS mean_height FROM part GROUP BY ALL"""
