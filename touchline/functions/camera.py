@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,13 +67,13 @@ def unproject(h: Column, u: Column, v: Column) -> tuple[Column, Column]:
 
 def crossing(x0: Column, y0: Column, x1: Column, y1: Column, slack: float = 1.0) -> Column:
     """Where a step leaves the pitch: struct of axis, sign, x and y; null if it doesn't. Touchlines are tried before
-    goal lines, and the place must lie on the edge itself, give or take slack metres."""
+    goal lines, and the place must lie on the edge itself, give or take slack metres. Steps of decimals are taken exactly."""
     half = {"y": PITCH_WIDTH_M / 2, "x": PITCH_LENGTH_M / 2}
     found = []
     for axis, (a, b), (c, d), other in (("y", (y0, y1), (x0, x1), half["x"]), ("x", (x0, x1), (y0, y1), half["y"])):
         for sign in (1, -1):
-            part = (half[axis] - a * sign) / (b * sign - a * sign)
-            across = c + part * (d - c)
+            part = (F.lit(Decimal(half[axis])) - a * sign).cast("double") / (b * sign - a * sign).cast("double")
+            across = c + part * (d - c).cast("double")
             at = F.lit(float(sign * half[axis]))
             place = (across, at) if axis == "y" else (at, across)
             hit = (a * sign <= half[axis]) & (b * sign > half[axis]) & (F.abs(across) <= other + slack)
