@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import shape
+from touchline.operators import shape, situations
 
 PLAYERS = "frame long, track_id long, team string, x double, y double"
 
@@ -28,3 +28,9 @@ def test_a_player_on_the_radius_is_as_sql_has_it(spark, player, ball):
     # Pressure is that of the frames in clear possession.
     live = b.withColumn("state", F.lit(read))
     assert shape.pressure(shape.ball_distances(p, live, ["frame"]), ["frame"]).count() == (read is not None)
+
+
+def test_a_player_on_the_ring_of_a_wall_counts(spark):
+    p, b = frames(spark, [(2, "away", 27.0, 8.0), (4, "away", 25.0, 10.0)], 111 / 5, 58 / 5)
+    got = situations.walls(p.join(b, "frame").withColumn("dir", F.lit(-1)), ["frame"], annulus=(0.0, 6.0), least=2, spread=6.0, gap=25.0).first()
+    assert tuple(got) == (1, "away", 2)
